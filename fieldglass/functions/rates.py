@@ -83,7 +83,8 @@ def half_up(value: Column, digits: int = 0) -> Column:
 
 def half_even(value: Column, digits: int = 0) -> Column:
     """Ties to the even neighbour, the rounding of the array layer."""
-    return F.bround(value, digits)
+    scale = 10**digits
+    return F.rint(value * scale) / scale
 
 
 def relative_change(current: Column, previous: Column, points: bool = False) -> Column:
