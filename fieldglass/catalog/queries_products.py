@@ -22,7 +22,7 @@ HARD_P = "(cast(release_spin_rate AS bigint) * 7 % 1024) / 1024.0D"
 
 
 def predictions(t):
-    scored = lambda cond, p: t.fact.filter(cond).selectExpr("pitcher_id", "game_date", f"{p} AS predicted_probability")
+    scored = lambda cond, p: t.stored_fact.filter(cond).selectExpr("pitcher_id", "game_date", f"{p} AS predicted_probability")
     return {"whiff": scored(F.col("swing_flag") == 1, WHIFF_P), "hard_hit": scored((F.col("batted_ball_flag") == 1) & F.col("hard_hit_flag").isNotNull(), HARD_P)}
 
 
@@ -72,22 +72,22 @@ radar AS (SELECT *, 50.0 * ((expected_whiff_rate - whiff_rate) + (hard_hit_rate_
 
 
 def _radar(t):
-    return radar.radar(t.fact, predictions(t), minimums=GATES)
+    return radar.radar(t.stored_fact, predictions(t), minimums=GATES)
 
 
 @query("x1_pitcher_radar", f"""{_RADAR_SQL} SELECT window_days, profile_key, pitcher_id, pitcher_name, pitches, games, batters_faced, expected_swings, round(fantasy_signal, 1) AS fantasy_signal, rank,
-  round(change, 1) + 0.0::DOUBLE AS signal_change, round(gap, 6) + 0.0::DOUBLE AS underlying_skill_gap_pp,
+  round(change, 1) + 0.0::DOUBLE AS signal_change, round(gap, 3) + 0.0::DOUBLE AS underlying_skill_gap_pp,
   CASE WHEN multiple >= 2 THEN 'Established sample' WHEN multiple >= 1.35 THEN 'Solid sample' ELSE 'Qualified sample' END AS sample_strength,
   CASE WHEN change IS NULL THEN 'Newly qualified' WHEN change >= 5 THEN 'Rising' WHEN change <= -5 THEN 'Cooling' ELSE 'Stable' END AS trend_status FROM radar""")
 def _(t):
     r = _radar(t).select("window_days", "profile_key", "pitcher_id", "pitcher_name", "pitches", "games", "batters_faced", "expected_swings", F.round("fantasy_signal", 1).alias("fantasy_signal"), "rank",
-                         (F.round("signal_change", 1) + 0.0).alias("signal_change"), (F.round("underlying_skill_gap_pp", 6) + 0.0).alias("underlying_skill_gap_pp"), "sample_strength", "trend_status")
+                         (F.round("signal_change", 1) + 0.0).alias("signal_change"), (F.round("underlying_skill_gap_pp", 3) + 0.0).alias("underlying_skill_gap_pp"), "sample_strength", "trend_status")
     return r
 
 
 @query("a15_period_metrics", f"""{BIND}, {_PREDICTED}, {_METRICS} SELECT * FROM met""")
 def _(t):
-    m = radar.pitcher_metrics(t.fact, t.fact.agg(F.max("game_date")).scalar(), (7, 14, 30))
+    m = radar.pitcher_metrics(t.stored_fact, t.stored_fact.agg(F.max("game_date")).scalar(), (7, 14, 30))
     return m.select("pitcher_id", "window_days", "back", "pitcher_name", "games", "pitches", "batters_faced", "strikeouts", "walks", "hits_allowed", "swings", "whiffs", "chases", "out_of_zone_pitches",
                     "measured_batted_balls", "hard_hits", "last_game_date")
 
@@ -109,17 +109,17 @@ def _span():
 
 @query("a16_opponent_metrics", f"{BIND}, {_OPP} SELECT opponent_team, plate_appearances, round(opponent_matchup_signal, 6) AS opponent_matchup_signal FROM oppr")
 def _(t):
-    return rounded(matchup.opponent_metrics(t.fact, *_span()).select("opponent_team", "plate_appearances", "opponent_matchup_signal"), "opponent_matchup_signal")
+    return rounded(matchup.opponent_metrics(t.stored_fact, *_span()).select("opponent_team", "plate_appearances", "opponent_matchup_signal"), "opponent_matchup_signal")
 
 
 @query("a16_park_metrics", f"{BIND}, {_PARK} SELECT venue_id, pa AS park_plate_appearances, round(park_contact_suppression_signal, 6) AS park_contact_suppression_signal FROM parkr")
 def _(t):
-    return rounded(matchup.park_metrics(t.fact, t.context, 20, 20).select("venue_id", "park_plate_appearances", "park_contact_suppression_signal"), "park_contact_suppression_signal")
+    return rounded(matchup.park_metrics(t.stored_fact, t.context, 20, 20).select("venue_id", "park_plate_appearances", "park_contact_suppression_signal"), "park_contact_suppression_signal")
 
 
 def slots(t):
     """Late games as upcoming slots: the recorded starter is the probable one, TBD for some."""
-    first = forecast.starters(t.fact).join(t.fact.groupBy("game_pk", "game_date", "pitcher_team").agg(F.min("batter_team").alias("opponent_team")), ["game_pk", "pitcher_team"])
+    first = forecast.starters(t.stored_fact).join(t.stored_fact.groupBy("game_pk", "game_date", "pitcher_team").agg(F.min("batter_team").alias("opponent_team")), ["game_pk", "pitcher_team"])
     late = first.filter(F.col("game_date") > F.lit("2024-01-28").cast("date")).join(t.context.select("game_pk", "game_datetime_utc", "venue_id"), "game_pk")
     known = F.col("first_pitcher") % 7 != 0
     return late.select("game_pk", "game_date", "game_datetime_utc", "venue_id", "pitcher_team", "opponent_team", F.when(known, F.col("first_pitcher")).alias("pitcher_id"),
@@ -162,7 +162,7 @@ st AS (SELECT *, CASE WHEN coverage > 0 THEN round((fantasy_signal * 0.65 + COAL
 def _stream(t):
     wx = matchup.with_weather(slots(t), forecasts(t).drop("event_id"), venues(t))
     r = _radar(t).filter(F.col("window_days") == 14)
-    return matchup.stream_rows(wx, r, matchup.opponent_metrics(t.fact, *_span()), matchup.park_metrics(t.fact, t.context, 20, 20))
+    return matchup.stream_rows(wx, r, matchup.opponent_metrics(t.stored_fact, *_span()), matchup.park_metrics(t.stored_fact, t.context, 20, 20))
 
 
 @query("x2_stream_planner", f"""{_STREAM} SELECT game_pk, pitcher_team, profile_key, probable_status, weather_risk, round(stream_score, 0) AS stream_score, round(coverage, 6) AS stream_score_coverage,
@@ -200,13 +200,13 @@ BOUNDS = Boundaries("2024-01-08", "2024-01-09", "2024-01-20", "2024-01-30")
 
 @query("a14_appearances", f"{BIND}, {_APP} SELECT * FROM app")
 def _(t):
-    return forecast.appearances(t.fact, t.context).select("game_pk", "game_date", "pitcher_id", "pitcher_team", "opponent_team", "pitches", "batters_faced", "strikeouts", "is_starter", "game_datetime_utc")
+    return forecast.appearances(t.stored_fact, t.context).select("game_pk", "game_date", "pitcher_id", "pitcher_team", "opponent_team", "pitches", "batters_faced", "strikeouts", "is_starter", "game_datetime_utc")
 
 
 _PREDICT = f"""{BIND}, {_APP}, pri AS (SELECT AVG(batters_faced) FILTER (is_starter) AS sb, AVG(strikeouts) FILTER (is_starter) AS sk, SUM(strikeouts) FILTER (is_starter) / SUM(batters_faced) FILTER (is_starter) AS skr,
   SUM(strikeouts) / SUM(batters_faced) AS okr FROM app WHERE game_date <= DATE '2024-01-08'),
 tgt AS (SELECT * FROM app WHERE is_starter AND game_date BETWEEN DATE '2024-01-09' AND DATE '2024-01-30'),
-past AS (SELECT g.game_pk, g.pitcher_id, g.pitcher_team, s.batters_faced AS b, s.strikeouts AS k, ROW_NUMBER() OVER (PARTITION BY g.game_pk, g.pitcher_id, g.pitcher_team ORDER BY s.game_date DESC, s.game_pk DESC) AS n
+past AS (SELECT g.game_pk, g.pitcher_id, g.pitcher_team, s.batters_faced AS b, s.strikeouts AS k, ROW_NUMBER() OVER (PARTITION BY g.game_pk, g.pitcher_id, g.pitcher_team ORDER BY s.game_date DESC, s.game_pk DESC, s.pitcher_team DESC) AS n
   FROM tgt g JOIN app s ON s.pitcher_id = g.pitcher_id AND s.is_starter AND s.game_date < g.game_date),
 five AS (SELECT game_pk, pitcher_id, pitcher_team, COUNT(*) AS prior_starts, SUM(b) AS pb, SUM(k) AS pk FROM past WHERE n <= 5 GROUP BY 1, 2, 3),
 opp30 AS (SELECT g.game_pk, g.pitcher_id, g.pitcher_team, SUM(a.batters_faced) AS ob, SUM(a.strikeouts) AS ok FROM tgt g JOIN app a ON a.opponent_team = g.opponent_team AND a.game_date >= g.game_date - 30 AND a.game_date < g.game_date GROUP BY 1, 2, 3),
@@ -218,7 +218,7 @@ pred AS (SELECT game_pk, pitcher_id, game_date, actual_k, prior_starts, sk AS le
 
 @query("i9_chronological_predictions", f"{_PREDICT} SELECT game_pk, pitcher_id, game_date, actual_k, CAST(prior_starts AS INTEGER) AS prior_starts, round(league_mean, 6) AS league_mean, round(recent_starts, 6) AS recent_starts, round(workload_opponent, 6) AS workload_opponent FROM pred")
 def _(t):
-    p = forecast.chronological_predictions(forecast.appearances(t.fact, t.context), BOUNDS)
+    p = forecast.chronological_predictions(forecast.appearances(t.stored_fact, t.context), BOUNDS)
     return rounded(p.select("game_pk", "pitcher_id", "game_date", "actual_k", F.col("prior_starts").cast("int").alias("prior_starts"), *forecast.MODELS), *forecast.MODELS)
 
 
@@ -234,7 +234,7 @@ rad AS (SELECT e AS r FROM err WHERE i = ceil(least(1.0, ceil((n + 1) * 0.8) / n
 @query("x3_backtest", f"""{_SPLIT} SELECT model, model = (SELECT b FROM best) AS is_selected, round(MAX(selection_mae), 6) AS selection_mae, COUNT(*) AS rows, round(AVG(abs(p - actual_k)), 6) AS mae, round(sqrt(AVG((p - actual_k) ** 2)), 6) AS rmse,
   round(AVG(p - actual_k), 6) AS bias, round((SELECT r FROM rad), 6) AS interval_radius FROM long JOIN sel USING (model) WHERE split = 'test' GROUP BY 1""")
 def _(t):
-    p = forecast.chronological_predictions(forecast.appearances(t.fact, t.context), BOUNDS)
+    p = forecast.chronological_predictions(forecast.appearances(t.stored_fact, t.context), BOUNDS)
     return rounded(forecast.backtest(p, BOUNDS).select("model", "is_selected", "selection_mae", "rows", "mae", "rmse", "bias", "interval_radius"), "selection_mae", "mae", "rmse", "bias", "interval_radius")
 
 
@@ -245,7 +245,7 @@ def _(t):
 
 def _archive(t):
     """Two archived forecasts per start, some made after it, some for games never played."""
-    a = forecast.appearances(t.fact, t.context).filter(F.col("is_starter"))
+    a = forecast.appearances(t.stored_fact, t.context).filter(F.col("is_starter"))
     early = F.col("game_datetime_utc") - F.expr("INTERVAL 5 HOURS")
     versions = F.explode(F.array(F.struct(early.alias("at"), F.lit("v1").alias("model_version"), F.lit(2.5).alias("predicted_k")), F.struct((early + F.expr("INTERVAL 1 HOUR")).alias("at"), F.lit("v2").alias("model_version"), F.lit(4.0).alias("predicted_k"))))
     late = F.when(F.col("pitcher_id") % 5 == 0, F.expr("INTERVAL 6 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
@@ -264,14 +264,14 @@ settled AS (SELECT f.game_pk, f.pitcher_id, f.model_version, predicted_k, CASE W
 
 @query("j17_settlement", f"{_ARCHIVE} SELECT game_pk, pitcher_id, model_version, outcome_status, CASE WHEN outcome_status = 'observed' THEN k END AS actual_k, CASE WHEN outcome_status = 'observed' THEN abs(k - predicted_k) END AS absolute_error FROM settled")
 def _(t):
-    return forecast.settle(_archive(t), forecast.appearances(t.fact, t.context)).select("game_pk", "pitcher_id", "model_version", "outcome_status", "actual_k", "absolute_error")
+    return forecast.settle(_archive(t), forecast.appearances(t.stored_fact, t.context)).select("game_pk", "pitcher_id", "model_version", "outcome_status", "actual_k", "absolute_error")
 
 
 @query("a24_live_monitor", f"""{_ARCHIVE} SELECT model_version, COUNT(*) AS recorded, COUNT(*) FILTER (outcome_status = 'observed') AS observed, COUNT(*) FILTER (outcome_status = 'pending') AS pending,
   COUNT(*) FILTER (outcome_status NOT IN ('pending', 'observed')) AS excluded, round(AVG(abs(predicted_k - k)) FILTER (outcome_status = 'observed'), 6) AS mae, round(AVG((k BETWEEN 1 AND 5)::INTEGER) FILTER (outcome_status = 'observed'), 6) AS interval_coverage,
   CASE WHEN COUNT(*) FILTER (outcome_status = 'observed') = 0 THEN 'awaiting_outcomes' WHEN COUNT(*) FILTER (outcome_status = 'observed') < 30 THEN 'limited_sample' ELSE 'descriptive_only' END AS status FROM settled GROUP BY 1""")
 def _(t):
-    monitor = forecast.live_monitor(forecast.settle(_archive(t), forecast.appearances(t.fact, t.context)))
+    monitor = forecast.live_monitor(forecast.settle(_archive(t), forecast.appearances(t.stored_fact, t.context)))
     return rounded(monitor.select("model_version", "recorded", "observed", "pending", "excluded", "mae", "interval_coverage", "status"), "mae", "interval_coverage")
 
 
@@ -284,13 +284,13 @@ def _(t):
 
 @query("m19_upcoming_forecast")
 def _(t):
-    rows = forecast.appearances(t.fact, t.context).filter(F.col("game_date") <= F.lit("2024-01-28").cast("date"))
+    rows = forecast.appearances(t.stored_fact, t.context).filter(F.col("game_date") <= F.lit("2024-01-28").cast("date"))
     return forecast.upcoming(slots(t), rows, "2024-01-20", "workload_opponent", 1.5, F.lit("2024-01-28 00:00:00").cast("timestamp"))
 
 
 @query("j16_comparison")
 def _(t):
-    rows = forecast.appearances(t.fact, t.context).filter(F.col("game_date") <= F.lit("2024-01-28").cast("date"))
+    rows = forecast.appearances(t.stored_fact, t.context).filter(F.col("game_date") <= F.lit("2024-01-28").cast("date"))
     up = forecast.upcoming(slots(t), rows, "2024-01-20", "recent_starts", 1.5, F.lit("2024-01-28 00:00:00").cast("timestamp"))
     return forecast.comparison(_radar(t), up)
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.plans import silver
+from fieldglass.session import cut_lineage
 
 NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -217,6 +218,11 @@ class Tables:
     def fact(self) -> DataFrame:
         return silver.fact_pitch(self.raw_pitch, self.ranges, silver.pitch_type_dim(self.spark))
 
+    @cached_property
+    def stored_fact(self) -> DataFrame:
+        """The fact as a written table, for queries that read it more than once."""
+        return cut_lineage(self.fact)
+
     @cached_property
     def context(self) -> DataFrame:
         return self.raw_pitch.select("game_pk", "game_date").distinct().selectExpr(*CONTEXT_COLUMNS)

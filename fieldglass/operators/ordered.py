@@ -167,25 +167,39 @@ def lookup_by_value(df: DataFrame, table: DataFrame, keys: list[str], carried: l
     return done.unionByName(rest.join(cold, keys, "left"))
 
 
-def average_rank_share(
-    df: DataFrame, value: str, name: str, keys: list[str] | None = None, ascending: bool = True
+def average_rank_shares(
+    df: DataFrame, ids: list[str], columns: dict[str, tuple[str, bool]], keys: list[str] | None = None
 ) -> DataFrame:
-    """Average rank of a value divided by the number of present values; null stays null.
+    """Average rank of each value divided by the number of present values; null stays null.
 
-    Ties share the mean of their ranks.  The value column is counted before any ordering,
-    so a value held by a third of the rows costs one counted row.
+    `columns` maps an output name to (source column, ascending); `ids` identify a row and
+    include `keys`.  All columns are ranked together in long form, so the plan grows with
+    their number only once.  Ties share the mean of their ranks, and values are counted
+    before any ordering, so a value held by a third of the rows costs one counted row.
     """
     keys = keys or []
-    spots = value_positions(df, keys, value)
-    if keys:
-        sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n"))
-        spots = spots.join(sizes, keys)
-    else:
-        spots = spots.withColumn("__n", df.agg(F.count(value)).scalar())
+    options = F.array(*[F.struct(F.lit(n).alias("m"), F.col(c).cast("double").alias("v")) for n, (c, _) in columns.items()])
+    long = df.select(*ids, F.explode(options).alias("__x")).select(*ids, F.col("__x.m").alias("__metric"), F.col("__x.v").alias("__value"))
+    long = long.filter(F.col("__value").isNotNull())
+    group = [*keys, "__metric"]
+    sizes = long.groupBy(*group).agg(F.count("*").alias("__n"))
+    spots = value_positions(long, group, "__value").join(sizes, group)
+    spots = spots.withColumn("__rank", F.col("below") + (F.col("peers") + 1) / 2)
+    placed = lookup_by_value(long, spots.select(*group, "__value", "peers", "__rank", "__n"), [*group, "__value"], ["__rank", "__n"])
+    shares = []
+    for name, (_, ascending) in columns.items():
+        rank = F.col("__rank") if ascending else F.col("__n") + 1 - F.col("__rank")
+        shares.append(F.max(F.when(F.col("__metric") == name, rank / F.col("__n"))).alias(name))
+    return df.join(placed.groupBy(*ids).agg(*shares), ids, "left")
+
+
+def average_rank_share(df: DataFrame, value: str, name: str, ascending: bool = True) -> DataFrame:
+    """`average_rank_shares` of one column over the whole table, joined by value: rows need no id."""
+    spots = value_positions(df, [], value).withColumn("__n", df.agg(F.count(value)).scalar())
     up = F.col("below") + (F.col("peers") + 1) / 2
     rank = up if ascending else F.col("__n") + 1 - up
-    spots = spots.withColumn(name, rank / F.col("__n")).select(*keys, value, "peers", name)
-    return lookup_by_value(df, spots, [*keys, value], [name])
+    spots = spots.withColumn(name, rank / F.col("__n")).select(value, "peers", name)
+    return lookup_by_value(df, spots, [value], [name])
 
 
 def exact_quantiles(

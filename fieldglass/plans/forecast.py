@@ -59,10 +59,10 @@ def start_history(rows: DataFrame) -> DataFrame:
     Sums over five starts are differences of running sums, read at the day's first start, so
     same-day starts never see each other and no history list is built.
     """
-    career = Window.partitionBy("pitcher_id").orderBy("game_date", "game_pk")
+    career = Window.partitionBy("pitcher_id").orderBy("game_date", "game_pk", "pitcher_team")
     through = career.rowsBetween(Window.unboundedPreceding, 0)
     numbered = rows.filter("is_starter").select(
-        "pitcher_id", "game_date", "game_pk",
+        "pitcher_id", "game_date", "game_pk", "pitcher_team",
         F.row_number().over(career).alias("r"),
         F.sum("batters_faced").over(through).alias("cb"),
         F.sum("strikeouts").over(through).alias("ck"),
@@ -172,7 +172,7 @@ def upcoming(slots: DataFrame, rows: DataFrame, train_end: str, model: str, radi
         (F.col("probable_status") == "Confirmed probable") & F.col("pitcher_id").isNotNull()
         & (F.col("game_datetime_utc") > now) & (F.col("game_date") > F.col("feature_data_through"))
     )
-    newest = Window.partitionBy("pitcher_id").orderBy(F.col("game_date").desc(), F.col("game_pk").desc())
+    newest = Window.partitionBy("pitcher_id").orderBy(F.col("game_date").desc(), F.col("game_pk").desc(), F.col("pitcher_team").desc())
     recent = rows.filter("is_starter").withColumn("__k", F.row_number().over(newest)).filter(F.col("__k") <= RECENT_STARTS)
     state = recent.groupBy("pitcher_id").agg(
         F.count("*").alias("prior_starts"), F.sum("batters_faced").alias("prior_batters_faced"),

@@ -10,8 +10,9 @@ from fieldglass.functions import labels, times
 from fieldglass.functions.rates import count_where, half_up, positive_rate, weighted_score
 from fieldglass.functions.text import normalize_team, weather_condition, weather_risk
 from fieldglass.operators.joins import nearest_in_time
-from fieldglass.operators.ordered import average_rank_share, unique_rank
+from fieldglass.operators.ordered import average_rank_shares, unique_rank
 from fieldglass.plans.radar import PROFILES
+from fieldglass.session import cut_lineage
 
 FORECAST_TOLERANCE_SECONDS = 2 * 3600
 
@@ -34,9 +35,10 @@ def opponent_metrics(fact: DataFrame, start: Column, end: Column) -> DataFrame:
         "opponent_strikeout_rate": positive_rate(c("strikeouts"), c("plate_appearances")), "opponent_walk_rate": positive_rate(c("walks"), c("plate_appearances")),
         "opponent_hard_hit_rate": positive_rate(c("hard_hits"), c("measured_batted_balls")),
     })
-    rated = average_rank_share(rated, "opponent_strikeout_rate", "strikeout_favorability_percentile")
-    rated = average_rank_share(rated, "opponent_walk_rate", "walk_favorability_percentile", ascending=False)
-    rated = average_rank_share(rated, "opponent_hard_hit_rate", "hard_hit_favorability_percentile", ascending=False)
+    rated = average_rank_shares(cut_lineage(rated), ["opponent_team"], {
+        "strikeout_favorability_percentile": ("opponent_strikeout_rate", True), "walk_favorability_percentile": ("opponent_walk_rate", False),
+        "hard_hit_favorability_percentile": ("opponent_hard_hit_rate", False),
+    })
     signal = 0.50 * c("strikeout_favorability_percentile") + 0.25 * c("walk_favorability_percentile") + 0.25 * c("hard_hit_favorability_percentile")
     return rated.withColumn("opponent_matchup_signal", 100.0 * signal)
 
@@ -51,8 +53,7 @@ def park_metrics(fact: DataFrame, context: DataFrame, minimum_balls: int = 500,
     kept = parks.filter((c("park_batted_balls") >= minimum_balls) & (c("park_plate_appearances") >= minimum_pa)).withColumns({
         "park_hard_hit_rate": positive_rate(c("park_hard_hits"), c("park_measured_batted_balls")), "park_home_run_rate": positive_rate(c("park_home_runs"), c("park_plate_appearances")),
     })
-    kept = average_rank_share(kept, "park_hard_hit_rate", "__a", ascending=False)
-    kept = average_rank_share(kept, "park_home_run_rate", "__b", ascending=False)
+    kept = average_rank_shares(cut_lineage(kept), ["venue_id"], {"__a": ("park_hard_hit_rate", False), "__b": ("park_home_run_rate", False)})
     return kept.withColumn("park_contact_suppression_signal", 100.0 * (0.60 * c("__a") + 0.40 * c("__b"))).drop("__a", "__b", "park_strikeouts", "park_walks")
 
 
@@ -82,7 +83,7 @@ def stream_rows(slots: DataFrame, radar: DataFrame, opponents: DataFrame, parks:
     score, coverage = weighted_score([(F.col("fantasy_signal"), 0.65), (F.col("opponent_matchup_signal"), 0.25), (F.col("park_contact_suppression_signal"), 0.10)])
     scored = joined.withColumns({"stream_score": score, "stream_score_coverage": coverage})
     scored = scored.withColumns({"stream_tier": labels.stream_tier(F.col("stream_score"), F.col("probable_status")), "__slot": F.col("game_pk") * 2 + (F.col("home_away") == "Home").cast("int")})
-    return unique_rank(scored, "stream_score", "__slot", "stream_rank", ["profile_key"]).drop("__slot")
+    return unique_rank(cut_lineage(scored), "stream_score", "__slot", "stream_rank", ["profile_key"]).drop("__slot")
 
 
 def contract(rows: DataFrame, slots: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldglass.functions import flags as fl
 from fieldglass.functions import labels
 from fieldglass.functions.rates import count_where, half_even, positive_rate
-from fieldglass.operators.ordered import average_rank_share, unique_rank
+from fieldglass.operators.ordered import average_rank_shares, unique_rank
 
 # Sample minimums per window length and percentile weights per profile.
 MINIMUMS = {
@@ -99,9 +99,8 @@ def qualify(metrics: DataFrame, expected: DataFrame, minimums: dict[int, dict[st
 
 
 def percentiles(rated: DataFrame) -> DataFrame:
-    for name, source, ascending in PERCENTILES:
-        rated = average_rank_share(rated, source, f"{name}_percentile", ["window_days", "back"], ascending)
-    return rated
+    columns = {f"{name}_percentile": (source, ascending) for name, source, ascending in PERCENTILES}
+    return average_rank_shares(rated, ["pitcher_id", "window_days", "back"], columns, ["window_days", "back"])
 
 
 def profile_scores(scored: DataFrame) -> DataFrame:
@@ -117,14 +116,14 @@ def profile_scores(scored: DataFrame) -> DataFrame:
 def radar(fact: DataFrame, predictions: dict[str, DataFrame], lengths: tuple[int, ...] = (7, 14, 30), minimums: dict[int, dict[str, int]] = MINIMUMS) -> DataFrame:
     """Current windows with their signal, change from the previous window, gaps, labels and rank.
 
-    The qualified rows (one per pitcher and window) are read by five percentile passes and
-    the previous-window join, so they are written out once.
+    The qualified and the scored rows (one per pitcher and window) are each read by several
+    branches, so they are written out once.
     """
     from fieldglass.session import cut_lineage
 
     last = fact.agg(F.max("game_date")).scalar()
     qualified = cut_lineage(qualify(pitcher_metrics(fact, last, lengths), expected_metrics(predictions, last, lengths), minimums))
-    scored = profile_scores(percentiles(qualified))
+    scored = cut_lineage(profile_scores(percentiles(qualified)))
     keys = ["pitcher_id", "profile_key", "window_days"]
     previous = scored.filter(F.col("back") == 1).select(*keys, F.col("fantasy_signal").alias("previous_signal"))
     c = F.col
@@ -141,4 +140,4 @@ def radar(fact: DataFrame, predictions: dict[str, DataFrame], lengths: tuple[int
         "window_start": F.expr("date_sub(window_end, window_days - 1)"), "previous_window_end": F.expr("date_sub(window_end, window_days)"),
         "previous_window_start": F.expr("date_sub(window_end, 2 * window_days - 1)"), "window_label": F.format_string("Last %d days", "window_days"),
     })
-    return unique_rank(dated, "fantasy_signal", "pitcher_id", keys=["window_days", "profile_key"])
+    return unique_rank(cut_lineage(dated), "fantasy_signal", "pitcher_id", keys=["window_days", "profile_key"])
