@@ -75,7 +75,9 @@ def running_sums(
     """Running sums (current row included) per key, with `order` a total order led by `axis`.
 
     `tie_axis` is a numeric image of the second order column; it splits buckets that hold
-    one heavily repeated value of `axis`.
+    one heavily repeated value of `axis`.  Rows and bucket totals are computed apart, so
+    `axis` must be reproducible: write out averages of doubles (`cut_lineage`) first.  A row
+    whose bucket has no total stops the job instead of receiving a wrong sum.
     """
     parts = list(keys) + ["__bucket"]
     placed = with_order_bucket(df, axis)
@@ -106,9 +108,8 @@ def running_sums(
     )
     joined = local.join(offsets, condition, "left")
     for name in measures:
-        joined = joined.withColumn(
-            name, F.coalesce(F.col(f"__c_{name}"), F.lit(0)) + F.col(f"__p_{name}")
-        )
+        carried = F.coalesce(F.col(f"__p_{name}"), F.raise_error("running_sums: order axis is not reproducible").cast("bigint"))
+        joined = joined.withColumn(name, F.coalesce(F.col(f"__c_{name}"), F.lit(0)) + carried)
     dropped = [c for c in joined.columns if c.startswith(("__m_", "__c_", "__p_", "__o_"))]
     return joined.drop(*dropped, "__bucket", "__tie")
 

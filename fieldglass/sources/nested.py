@@ -119,9 +119,8 @@ def player_stats(documents: DataFrame, column: str = "payload") -> DataFrame:
 def hourly_forecast(documents: DataFrame, column: str = "payload") -> DataFrame:
     """Parallel hourly arrays of each venue's forecast as rows."""
     fields = ["temperature_2m", "precipitation_probability", "weather_code", "wind_speed_10m", "wind_direction_10m"]
-    zipped = F.arrays_zip("doc.hourly.time", *[f"doc.hourly.{f}" for f in fields])
-    rows = parse(documents, column, schemas.HOURLY_FORECAST).select("venue_id", F.explode(zipped).alias("h"))
-    return rows.select("venue_id", F.to_timestamp("h.time").alias("forecast_time_utc"), *[F.col(f"h.{f}").alias(f) for f in fields])
+    rows = parse(documents, column, schemas.HOURLY_FORECAST).select("venue_id", "doc.hourly", F.posexplode("doc.hourly.time").alias("i", "time"))
+    return rows.select("venue_id", F.to_timestamp("time").alias("forecast_time_utc"), *[F.get(F.col(f"hourly.{f}"), F.col("i")).alias(f) for f in fields])
 
 
 def rosters(documents: DataFrame, column: str = "payload") -> DataFrame:
