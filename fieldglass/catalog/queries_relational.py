@@ -13,6 +13,7 @@ from fieldglass.operators import filters, joins, ordered, shape
 from fieldglass.operators.filters import FilterDefinition as Filter
 from fieldglass.operators.ranges import outside_ranges
 from fieldglass.plans import gold
+from fieldglass.session import literal_table
 
 LINE = ["l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 LINE_SQL = ", ".join(LINE)
@@ -59,7 +60,7 @@ def _(t):
 @query("p19_minimum_sample_gate", """WITH m AS (SELECT l_suppkey, COUNT(*) AS n, SUM((l_returnflag = 'R')::INTEGER)::BIGINT AS r FROM lineitem GROUP BY 1)
   SELECT days, l_suppkey, n, r FROM m JOIN (VALUES (7, 50, 10), (14, 80, 18), (30, 150, 35)) g(days, min_n, min_r) ON n >= min_n AND r >= min_r""")
 def _(t):
-    gates = t.spark.createDataFrame([(7, 50, 10), (14, 80, 18), (30, 150, 35)], "days int, min_n int, min_r int")
+    gates = literal_table(t.spark, [(7, 50, 10), (14, 80, 18), (30, 150, 35)], "days int, min_n int, min_r int")
     m = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"), rates.count_where(F.col("l_returnflag") == "R").alias("r"))
     offered = m.withColumn("gate", F.explode(F.array(*[F.struct(F.lit(d).alias("days")) for d in (7, 14, 30)]))).select("*", "gate.days").drop("gate")
     return offered.join(gates, "days").filter((F.col("n") >= F.col("min_n")) & (F.col("r") >= F.col("min_r"))).select("days", "l_suppkey", "n", "r")
@@ -126,7 +127,7 @@ def _(t):
 
 @query("j1_dim_fallback", """SELECT p_partkey, COALESCE(d.label, NULLIF(p_type, 'PROMO'), p_brand) AS label FROM part LEFT JOIN (VALUES ('ECONOMY', 'Economy line'), ('LARGE', 'Large line')) d(p_type, label) USING (p_type)""")
 def _(t):
-    dim = t.spark.createDataFrame([("ECONOMY", "Economy line"), ("LARGE", "Large line")], "p_type string, std string")
+    dim = literal_table(t.spark, [("ECONOMY", "Economy line"), ("LARGE", "Large line")], "p_type string, std string")
     named = joins.with_fallback(t.part, dim, "p_type", "label", [F.col("std"), F.nullif("p_type", F.lit("PROMO")), F.col("p_brand")])
     return named.select("p_partkey", "label")
 
@@ -542,8 +543,7 @@ def _(t):
   round(CASE WHEN v IS NOT NULL THEN (RANK() OVER (ORDER BY v DESC NULLS LAST) + (COUNT(*) OVER (PARTITION BY v) - 1) / 2) / COUNT(v) OVER () END, 6) AS pct_down FROM v""")
 def _(t):
     v = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", F.when(F.col("l_tax") > 0, F.col("l_quantity")).alias("v"))
-    up = ordered.average_rank_share(v, "v", "pct_up")
-    return rounded(ordered.average_rank_share(up, "v", "pct_down", ascending=False), "pct_up", "pct_down")
+    return rounded(ordered.average_rank_share(v, "v", {"pct_up": True, "pct_down": False}), "pct_up", "pct_down")
 
 
 @query("w14_unique_rank", """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN ROW_NUMBER() OVER (ORDER BY CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice / 50000) END DESC NULLS LAST, o_orderkey) END AS rank FROM orders""")

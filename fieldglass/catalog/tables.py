@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.plans import silver
-from fieldglass.session import cut_lineage
+from fieldglass.session import cut_lineage, literal_table
 
 NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -209,10 +209,7 @@ class Tables:
 
     @cached_property
     def ranges(self) -> DataFrame:
-        rows = [(s, a, b) for s, a, b in RANGES]
-        return self.spark.createDataFrame(rows, "season int, start_date string, end_date string").selectExpr(
-            "season", "to_date(start_date) AS start_date", "to_date(end_date) AS end_date"
-        )
+        return literal_table(self.spark, RANGES, "season int, start_date date, end_date date")
 
     @cached_property
     def fact(self) -> DataFrame:

@@ -194,13 +194,15 @@ def average_rank_shares(
     return df.join(placed.groupBy(*ids).agg(*shares), ids, "left")
 
 
-def average_rank_share(df: DataFrame, value: str, name: str, ascending: bool = True) -> DataFrame:
-    """`average_rank_shares` of one column over the whole table, joined by value: rows need no id."""
+def average_rank_share(df: DataFrame, value: str, names: dict[str, bool]) -> DataFrame:
+    """Rank shares of one column over the whole table, joined by value: rows need no id.
+
+    `names` maps each output to its direction (True for ascending).
+    """
     spots = value_positions(df, [], value).withColumn("__n", df.agg(F.count(value)).scalar())
     up = F.col("below") + (F.col("peers") + 1) / 2
-    rank = up if ascending else F.col("__n") + 1 - up
-    spots = spots.withColumn(name, rank / F.col("__n")).select(value, "peers", name)
-    return lookup_by_value(df, spots, [value], [name])
+    shares = [((up if ascending else F.col("__n") + 1 - up) / F.col("__n")).alias(n) for n, ascending in names.items()]
+    return lookup_by_value(df, spots.select(value, "peers", *shares), [value], list(names))
 
 
 def exact_quantiles(
@@ -343,16 +345,13 @@ def trailing_sums(df: DataFrame, keys: list[str], order: str, measures: dict[str
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Keep the row of each key with the greatest order tuple.
+    """Keep the row of each key with the greatest order tuple (missing parts rank lowest).
 
-    An aggregate, not a window: copies of one key shrink on the map side, so a key that
-    owns a third of the rows sends one row per task to the reducer.
+    Spark applies the limit of one row per key inside every map task before the shuffle
+    (WindowGroupLimit), so a key that owns a third of the rows sends one row per task.
     """
-    rest = [c for c in df.columns if c not in keys]
-    packed = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("__row")
-    )
-    return packed.select(*[F.col(k) if k in keys else F.col(f"__row.{k}").alias(k) for k in df.columns])
+    newest = Window.partitionBy(*keys).orderBy(*[o.desc_nulls_last() for o in order])
+    return df.withColumn("__k", F.row_number().over(newest)).filter(F.col("__k") == 1).drop("__k")
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank", dense: bool = False) -> DataFrame:

@@ -28,4 +28,6 @@ def _by_day(df, ranges, day, season, how):
     on = day == F.col("__r_day")
     if season is not None:
         on = on & (season == F.col("__r_season"))
-    return df.join(range_days(ranges, ["season"] if season is not None else []), on, how)
+    # Distinct calendar days (per season) bound this side, so broadcasting it is safe and
+    # keeps the rows from being shuffled by their few dates.
+    return df.join(F.broadcast(range_days(ranges, ["season"] if season is not None else [])), on, how)

@@ -9,6 +9,7 @@ from fieldglass.functions import flags as fl
 from fieldglass.functions import labels
 from fieldglass.functions.rates import count_where, half_even, positive_rate
 from fieldglass.operators.ordered import average_rank_shares, unique_rank
+from fieldglass.session import cut_lineage, literal_table
 
 # Sample minimums per window length and percentile weights per profile.
 MINIMUMS = {
@@ -82,7 +83,7 @@ def qualify(metrics: DataFrame, expected: DataFrame, minimums: dict[int, dict[st
     """Apply the sample gates, then rates and average-rank percentiles inside each window."""
     keys = ["pitcher_id", "window_days", "back"]
     rows = [(days, *[m[c] for c in ("pitches", "batters_faced", "expected_swings", "expected_batted_balls")]) for days, m in minimums.items()]
-    gates = metrics.sparkSession.createDataFrame(rows, "window_days int, min_pitches int, min_bf int, min_swings int, min_balls int")
+    gates = literal_table(metrics.sparkSession, rows, "window_days int, min_pitches int, min_bf int, min_swings int, min_balls int")
     c = F.col
     joined = metrics.join(expected, keys, "left").join(gates, "window_days").filter(
         (c("pitches") >= c("min_pitches")) & (c("batters_faced") >= c("min_bf")) & (c("expected_swings") >= c("min_swings")) & (c("expected_batted_balls") >= c("min_balls"))
@@ -119,8 +120,6 @@ def radar(fact: DataFrame, predictions: dict[str, DataFrame], lengths: tuple[int
     The qualified and the scored rows (one per pitcher and window) are each read by several
     branches, so they are written out once.
     """
-    from fieldglass.session import cut_lineage
-
     last = fact.agg(F.max("game_date")).scalar()
     qualified = cut_lineage(qualify(pitcher_metrics(fact, last, lengths), expected_metrics(predictions, last, lengths), minimums))
     scored = cut_lineage(profile_scores(percentiles(qualified)))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fieldglass.functions import flags as fl
 from fieldglass.operators.ordered import latest_per_key
 from fieldglass.operators.ranges import in_ranges
+from fieldglass.schemas import PITCH_TYPE_DIM
+from fieldglass.session import literal_table
 
 # The governed pitch-type mapping.
 PITCH_TYPES = [
@@ -81,7 +83,7 @@ _TYPED = {
 
 
 def pitch_type_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PITCH_TYPES, "pitch_type string, pitch_name_standard string, pitch_family string")
+    return literal_table(spark, PITCH_TYPES, PITCH_TYPE_DIM)
 
 
 def typed_pitches(raw: DataFrame, dim: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ CLUSTER_SETTINGS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    # The JVM never compiles methods beyond 8000 bytes of bytecode; wide projections of the
+    # pitch schema exceed that when fused, so they run as separately compiled pieces.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -34,6 +37,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
     return spark
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], columns: str):
+    """A small constant table the optimizer knows the size of (a local relation).
+
+    `columns` is a DDL list; values are strings, numbers, booleans or None.
+    """
+    fields = [part.strip().split(" ") for part in columns.split(",")]
+
+    def text(value):
+        if value is None:
+            return "NULL"
+        return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+
+    values = ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
+    names = ", ".join(name for name, _ in fields)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})").selectExpr(*[f"cast({n} AS {t}) AS {n}" for n, t in fields])
+
+
 def cut_lineage(df):
     """Materialise a reused frame in the shared checkpoint folder of the cluster."""
     spark = df.sparkSession
