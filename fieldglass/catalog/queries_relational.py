@@ -736,3 +736,50 @@ def _(t):
 @query("u8_distinct", "SELECT DISTINCT l_returnflag, l_linestatus, l_suppkey FROM lineitem")
 def _(t):
     return t.lineitem.select("l_returnflag", "l_linestatus", "l_suppkey").distinct()
+
+
+@query("t1_total_order", "SELECT l_suppkey, l_returnflag, COUNT(*) AS n FROM lineitem GROUP BY 1, 2 ORDER BY 1, 2")
+def _(t):
+    return t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n")).orderBy("l_suppkey", "l_returnflag")
+
+
+@query("j6_enrichment", f"{BIND} SELECT f.pitch_id, r.description AS pitch_description, r.loaded_at_utc FROM fact f JOIN raw_pitch r ON r.game_pk = f.game_pk AND r.pitch_number = f.pitch_number AND r.loaded_at_utc = f.loaded_at_utc")
+def _(t):
+    extra = t.raw_pitch.select("game_pk", "pitch_number", "loaded_at_utc", F.col("description").alias("pitch_description"))
+    return t.fact.select("pitch_id", "game_pk", F.col("pitch_number").cast("bigint").alias("pitch_number"), "loaded_at_utc").join(
+        extra, ["game_pk", "pitch_number", "loaded_at_utc"], "left").select("pitch_id", "pitch_description", "loaded_at_utc")
+
+
+@query("u4_stack_profiles", """SELECT profile_key, l_suppkey, round(SUM(l_quantity * w), 6) AS score FROM lineitem CROSS JOIN (VALUES ('balanced', 0.5::DOUBLE), ('upside', 0.25::DOUBLE)) p(profile_key, w) GROUP BY 1, 2""")
+def _(t):
+    totals = t.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    options = F.array(*[F.struct(F.lit(k).alias("profile_key"), F.lit(w).alias("w")) for k, w in (("balanced", 0.5), ("upside", 0.25))])
+    return totals.withColumn("p", F.explode(options)).select("p.profile_key", "l_suppkey", F.round(F.col("q") * F.col("p.w"), 6).alias("score"))
+
+
+@query("f28_array_functions", "SELECT vec_id, len(list_filter(embedding, x -> x > 0)) AS positives, label FROM embeddings")
+def _(t):
+    return t.embeddings.select("vec_id", F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint").alias("positives"), "label")
+
+
+@query("p20_eligibility_flag", """WITH g AS (SELECT user_id, COUNT(*) AS n, COUNT(DISTINCT CAST(ts AS DATE)) AS days, DATE '2024-01-30' - MAX(CAST(ts AS DATE)) AS idle, COUNT(*) FILTER (value >= 5) / COUNT(*) AS coverage FROM events GROUP BY 1)
+  SELECT user_id, n >= 30 AND days >= 15 AND idle <= 4 AND coverage BETWEEN 0.8 AND 1.05 AS eligible FROM g""")
+def _(t):
+    g = t.events.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct(F.to_date("ts")).alias("days"), F.max(F.to_date("ts")).alias("last"), (rates.count_where(F.col("value") >= 5) / F.count("*")).alias("coverage"))
+    idle = F.datediff(F.lit("2024-01-30").cast("date"), F.col("last"))
+    return g.select("user_id", ((F.col("n") >= 30) & (F.col("days") >= 15) & (idle <= 4) & F.col("coverage").between(0.8, 1.05)).alias("eligible"))
+
+
+@query("w17_prior_days_totals", """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, day, n, COALESCE(SUM(n) OVER (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), 0)::BIGINT AS before FROM d""")
+def _(t):
+    from pyspark.sql import Window
+
+    daily = t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    frame = Window.partitionBy("event_type").orderBy(F.unix_date("day")).rangeBetween(-7, -1)
+    return daily.withColumn("before", F.coalesce(F.sum("n").over(frame), F.lit(0)))
+
+
+@query("x10_dataset_index", f"{BIND}, {_SUMMARY} SELECT 'pitch_summary' AS dataset, COUNT(*) AS rows FROM summary UNION ALL SELECT 'games', COUNT(*) FROM ctx")
+def _(t):
+    size = lambda df, name: df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("dataset"), "rows")
+    return size(gold.pitch_summary(t.fact), "pitch_summary").unionByName(size(t.context, "games"))
