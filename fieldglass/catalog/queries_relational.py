@@ -757,7 +757,7 @@ def _(t):
     return totals.withColumn("p", F.explode(options)).select("p.profile_key", "l_suppkey", F.round(F.col("q") * F.col("p.w"), 6).alias("score"))
 
 
-@query("f28_array_functions", "SELECT vec_id, len(list_filter(embedding, x -> x > 0)) AS positives, label FROM embeddings")
+@query("f28_array_functions", "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS positives, label FROM embeddings")
 def _(t):
     return t.embeddings.select("vec_id", F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint").alias("positives"), "label")
 

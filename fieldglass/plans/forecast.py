@@ -10,6 +10,7 @@ from fieldglass.functions.rates import count_bounds, count_where, rate_adjustmen
 from fieldglass.operators.ordered import latest_per_key, value_positions
 from fieldglass.operators.shape import finite
 from fieldglass.plans.modeling import Boundaries
+from fieldglass.session import cut_lineage
 
 MODELS = ["league_mean", "recent_starts", "workload_opponent"]
 RECENT_STARTS = 5
@@ -140,7 +141,7 @@ def backtest(predictions: DataFrame, boundaries: Boundaries) -> DataFrame:
     The cut date is 70% through the distinct validation dates, a calendar-sized table.
     """
     test = F.col("game_date") >= F.lit(boundaries.test_start).cast("date")
-    split = with_backtest_split(predictions, boundaries)
+    split = cut_lineage(with_backtest_split(predictions, boundaries))  # one row per start, read by every step below
     long = split.unpivot(["game_date", "split", "actual_k"], MODELS, "model", "predicted")
     long = long.withColumn("e", F.abs(F.col("predicted") - F.col("actual_k")))
     selection = long.filter(F.col("split") == "selection").groupBy("model").agg(F.avg("e").alias("selection_mae"))
