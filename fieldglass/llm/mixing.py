@@ -111,7 +111,9 @@ def draw_slots(sources: DataFrame, shards: int = 64, seed: int = 17) -> DataFram
     begin = F.least(F.coalesce(F.sum("n").over(before), F.lit(0)), F.col("quota"))
     runs = runs.withColumn("begin", begin).withColumn("end", F.least(F.col("begin") + F.col("n"), F.col("quota"))).where("end > begin")
     chunk = F.explode(F.sequence(F.col("begin"), F.col("end") - 1, F.lit(_CHUNK).cast("long")))
-    runs = runs.withColumn("from", chunk).repartition("src", "from")
+    # Few and small rows that become many: a stated width keeps them from being put together again.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.withColumn("from", chunk).repartition(width, "src", "from")
     slot = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + (_CHUNK - 1), F.col("end") - 1)))
     slots = runs.select("shard", "src", "blocks", slot.alias("slot"))
     return slots.select("shard", "src", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64("src", F.lit(seed))).alias("block"))
