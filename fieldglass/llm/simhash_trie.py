@@ -178,6 +178,19 @@ def near_components(prints: DataFrame, budget: int = 3, bucket_limit: int = 262_
     return components(edges).select(F.col("a").alias("fp"), F.col("b").alias("root"))
 
 
+def _decided(rows: DataFrame, budget: int) -> DataFrame:
+    """Per distinct fingerprint: fp, first (absent, doc_id, text_hash) of its component, group_docs."""
+    # Structs order nulls first, so the null flag leads.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash"))
+    own = store(rows.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
+    members = near_components(own, budget)
+    members = members.unionByName(members.select(F.col("root").alias("fp"), "root").distinct())
+    groups = own.join(members, "fp").groupBy("root").agg(F.min("first").alias("group_first"), F.sum("n").alias("group_n"))
+    return own.join(members.join(groups, "root").drop("root"), "fp", "left").select(
+        "fp", F.coalesce("group_first", "first").alias("first"), F.coalesce("group_n", "n").alias("group_docs")
+    )
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
     """One row per input row: doc_id, text_hash, fp, component_id, keeper_hash, group_docs.
 
@@ -188,17 +201,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataF
     are ignored.  An empty table gives an empty result.
     """
     rows = store(fingerprints(docs, shingle))
-    # Structs order nulls first, so the null flag leads.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash"))
-    own = rows.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
-    own = store(own)
-    members = near_components(own)
-    members = members.unionByName(members.select(F.col("root").alias("fp"), "root").distinct())
-    groups = own.join(members, "fp").groupBy("root").agg(F.min("first").alias("group_first"), F.sum("n").alias("group_n"))
-    decided = own.join(members.join(groups, "root").drop("root"), "fp", "left").select(
-        "fp", F.coalesce("group_first", "first").alias("first"), F.coalesce("group_n", "n").alias("group_docs")
-    )
-    return rows.join(decided, "fp").select(
+    return rows.join(_decided(rows, budget), "fp").select(
         "doc_id", "text_hash", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("keeper_hash"), "group_docs"
     )
 
@@ -209,10 +212,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
     All columns are kept.  Of rows that repeat the kept doc_id and text one stays.
     """
     names = docs.columns
-    first = near_duplicates(docs, shingle, budget).select("component_id", "keeper_hash").distinct()
-    keepers = first.select(F.col("component_id").alias("__keep_id"), F.col("keeper_hash").alias("__keep_hash"))
-    marked = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
-    kept = marked.join(
-        keepers, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep_id")) & (F.col("__text_hash") == F.col("__keep_hash")), "left_semi"
-    )
-    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*[f"`{n}`" for n in names])
+    first = _decided(store(fingerprints(docs, shingle)), budget).select("first.doc_id", "first.text_hash").distinct()
+    # Never-null keys, so that dropping repeats can use the partitioning of the join.
+    absent, present = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    keepers = first.select(present.alias("__id"), absent.alias("__absent"), F.col("text_hash").alias("__hash"))
+    keys = ["__id", "__absent", "__hash"]
+    marked = docs.withColumns({"__id": present, "__absent": absent, "__hash": F.xxhash64(F.col("text").cast("string"))})
+    return marked.join(keepers, keys, "left_semi").dropDuplicates(keys).select(*[f"`{n}`" for n in names])
