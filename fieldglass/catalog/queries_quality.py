@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.catalog.queries_marts import rounded
 from fieldglass.catalog.registry import query
-from fieldglass.catalog.tables import BIND, RAW
+from fieldglass.catalog.tables import BIND, GAME, RAW
 from fieldglass.operators import incremental, quality
 from fieldglass.operators.joins import symmetric_difference
 from fieldglass.plans import audit, gold, history
@@ -331,13 +331,13 @@ def _(t):
 def _feed_documents(t):
     """One feed document per game: its plate appearances and their events, a game's worth each."""
     event = F.struct((F.col("value") >= 5).alias("isPitch"), F.col("event_type").alias("type"))
-    b = t.ev.selectExpr("value", "event_type", "cast(dayofyear(ts) * 10 + user_id % 10 AS bigint) AS game_pk", "cast(floor((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 600) AS bigint) AS ix")
+    b = t.ev.selectExpr("value", "event_type", "" + GAME + " AS game_pk", "cast(floor((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 600) AS bigint) AS ix")
     plays = b.groupBy("game_pk", "ix").agg(F.collect_list(event).alias("playEvents")).select("game_pk", F.struct(F.struct(F.col("ix").alias("atBatIndex")).alias("about"), "playEvents").alias("p"))
     games = plays.groupBy("game_pk").agg(F.collect_list("p").alias("allPlays"))
     return games.select(F.to_json(F.struct(F.struct(F.struct(F.col("game_pk").alias("pk")).alias("game")).alias("gameData"), F.struct(F.struct("allPlays").alias("plays")).alias("liveData"))).alias("payload"))
 
 
-@query("s10_feed_appearances", """SELECT dayofyear(ts) * 10 + user_id % 10 AS game_pk, CAST((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) // 600 + 1 AS INTEGER) AS at_bat_number, COUNT(*) FILTER (value >= 5) AS pitches FROM events GROUP BY 1, 2""")
+@query("s10_feed_appearances", """SELECT dayofyear(ts) * 1000000000 + (user_id // 20) * 10 + user_id % 10 AS game_pk, CAST((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) // 600 + 1 AS INTEGER) AS at_bat_number, COUNT(*) AS pitches FROM events WHERE value >= 5 GROUP BY 1, 2""")
 def _(t):
     return nested.feed_appearances(_feed_documents(t)).select("game_pk", "at_bat_number", "pitches")
 

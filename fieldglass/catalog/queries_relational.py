@@ -654,9 +654,9 @@ def _(t):
     return shape.group_small_series(t.part.groupBy("p_type", "p_brand").agg(F.count("*").alias("parts")), "p_type", "p_brand", "parts")
 
 
-@query("t7_nulls_last", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS v FROM orders ORDER BY v DESC NULLS LAST, o_orderkey LIMIT 14000")
+@query("t7_nulls_last", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS v FROM orders ORDER BY v DESC NULLS LAST, o_orderkey")
 def _(t):
-    return t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("v")).orderBy(F.col("v").desc_nulls_last(), "o_orderkey").limit(14000)
+    return t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("v")).orderBy(F.col("v").desc_nulls_last(), "o_orderkey")
 
 
 @query("t8_calendar_order", """SELECT dayname(ts) AS day, CAST(isodow(ts) - 1 AS INTEGER) AS place, COUNT(*) AS n FROM events GROUP BY 1, 2 ORDER BY 2""")

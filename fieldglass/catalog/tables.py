@@ -30,13 +30,16 @@ _BASE = [
     "cast(round(value * 100) AS bigint) AS c",
 ]
 
+# A game is one day of two neighbouring users of the same last digit, so games grow with the data.
+GAME = "cast(dayofyear(ts) * 1000000000L + floor(user_id / 20) * 10 + user_id % 10 AS bigint)"
+
 _RAW = [
     "CASE WHEN c % 50 = 7 THEN NULL WHEN event_type = 'signup' THEN 'FF' WHEN event_type = 'view' THEN 'SL' "
     "WHEN event_type = 'click' THEN 'CH' WHEN event_type = 'purchase' THEN 'SI' ELSE 'XX' END AS pitch_type",
     "CASE WHEN event_type = 'error' THEN 'Mystery Pitch' ELSE event_type END AS pitch_name",
     "date_format(ts, 'yyyy-MM-dd') AS game_date",
     "cast(year(ts) AS bigint) AS game_year",
-    "cast(dayofyear(ts) * 10 + user_id % 10 AS bigint) AS game_pk",
+    GAME + " AS game_pk",
     "cast(floor((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 600) + 1 AS bigint) AS at_bat_number",
     "event_id AS pitch_number",
     "cast(floor(hour(ts) / 3) + 1 AS bigint) AS inning",
@@ -105,7 +108,7 @@ def _duck(expression: str) -> str:
     ]
     for ours, theirs in swaps:
         expression = expression.replace(ours, theirs)
-    return re.sub(r"(\d+\.\d+)D", r"\1::DOUBLE", expression)
+    return re.sub(r"(\d+)L\b", r"\1", re.sub(r"(\d+\.\d+)D", r"\1::DOUBLE", expression))
 
 
 CONTEXT_COLUMNS = [

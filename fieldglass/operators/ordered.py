@@ -114,6 +114,15 @@ def running_sums(
     return joined.drop(*dropped, "__bucket", "__tie")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on named keys in which nulls are equal, as they are in grouping."""
+    renamed = right
+    for k in keys:
+        renamed = renamed.withColumnRenamed(k, f"__k_{k}")
+    condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__k_{k}"]) for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"__k_{k}" for k in keys])
+
+
 def unique_rank(
     df: DataFrame,
     score: str,
@@ -184,7 +193,7 @@ def average_rank_shares(
     long = long.filter(F.col("__value").isNotNull())
     group = [*keys, "__metric"]
     sizes = long.groupBy(*group).agg(F.count("*").alias("__n"))
-    spots = value_positions(long, group, "__value").join(sizes, group)
+    spots = join_null_safe(value_positions(long, group, "__value"), sizes, group)
     spots = spots.withColumn("__rank", F.col("below") + (F.col("peers") + 1) / 2)
     placed = lookup_by_value(long, spots.select(*group, "__value", "peers", "__rank", "__n"), [*group, "__value"], ["__rank", "__n"])
     shares = []
@@ -214,7 +223,7 @@ def exact_quantiles(
     """
     spots = value_positions(df, keys, value)
     sizes = spots.groupBy(*keys).agg(F.sum("peers").alias("n"))
-    positioned = spots.join(sizes, keys) if keys else spots.withColumn("n", spots.agg(F.sum("peers")).scalar())
+    positioned = join_null_safe(spots, sizes, keys) if keys else spots.withColumn("n", spots.agg(F.sum("peers")).scalar())
     number = F.col(value).cast("double")
     aggregates = []
     for name, fraction in fractions.items():
@@ -328,14 +337,14 @@ def prior_days(
     )
     whole = Window.partitionBy(*keys).orderBy("__day").rangeBetween(-days, -1)
     daily = daily.select(*keys, "__day", *[F.coalesce(F.sum(p).over(whole), F.lit(0)).alias(f"{p}_days") for p in parts])
-    joined = pieces.join(daily, [*keys, "__day"])
+    joined = join_null_safe(pieces, daily, [*keys, "__day"])
     total = lambda p: F.col(f"{p}_days") + F.col(f"{p}_now") - F.col(f"{p}_edge")
     history = joined.select(
         *keys, "__at",
         total("__n").alias(f"{prefix}_count"),
         (total("__sum") / F.when(total("__known") > 0, total("__known"))).alias(f"{prefix}_rate"),
     )
-    return staged.join(history, [*keys, "__at"], "left").drop("__at")
+    return join_null_safe(staged, history, [*keys, "__at"], "left").drop("__at")
 
 
 def trailing_sums(df: DataFrame, keys: list[str], order: str, measures: dict[str, str], rows: int) -> DataFrame:

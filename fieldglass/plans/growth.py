@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.functions.rates import count_where
+from fieldglass.functions.rates import count_where, safe_divide
 
 
 def rate_decomposition(df: DataFrame, group: str, after: Column, numerator: str, denominator: str) -> DataFrame:
@@ -13,6 +13,7 @@ def rate_decomposition(df: DataFrame, group: str, after: Column, numerator: str,
 
     The symmetric split weights each part by the mean of both periods, so the parts add up
     to the change; the alternative split (earlier shares, later rates) is given beside it.
+    A group that one period lacks has no rate there: it is not comparable and its parts are NULL.
     """
     late = F.coalesce(after, F.lit(False))
     part = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
@@ -22,7 +23,9 @@ def rate_decomposition(df: DataFrame, group: str, after: Column, numerator: str,
     total = g.agg(F.sum("before_d").alias("b"), F.sum("after_d").alias("a")).select(F.struct("*")).scalar()
     c = F.col
     rated = g.withColumn("__t", total).withColumns({
-        "before_rate": c("before_n") / c("before_d"), "after_rate": c("after_n") / c("after_d"), "before_share": c("before_d") / c("__t.b"), "after_share": c("after_d") / c("__t.a"),
+        "before_rate": safe_divide(c("before_n"), c("before_d")), "after_rate": safe_divide(c("after_n"), c("after_d")),
+        "before_share": safe_divide(c("before_d"), c("__t.b")), "after_share": safe_divide(c("after_d"), c("__t.a")),
+        "comparable": (c("before_d") > 0) & (c("after_d") > 0),
     })
     return rated.withColumns({
         "within_pp": 100 * (c("before_share") + c("after_share")) / 2 * (c("after_rate") - c("before_rate")),
@@ -49,10 +52,10 @@ def volume_rate_bridge(df: DataFrame, stage: str, current: Column, late: Column)
     ).select(F.struct("*")).scalar()
     staged = df.groupBy(stage).agg(count_where(~now & late).alias("before_late"), count_where(now & late).alias("current_late")).withColumn("__t", totals)
     c = F.col
-    expected = c("before_late") * c("__t.orders") / c("__t.before_orders")
+    expected = safe_divide(c("before_late") * c("__t.orders"), c("__t.before_orders"))
     return staged.withColumns({
         "expected_at_current_volume": expected, "extra_late": c("current_late") - expected,
-        "volume_extra": (c("__t.orders") - c("__t.before_orders")) * c("__t.before_late") / c("__t.before_orders"), "total_change": c("__t.late") - c("__t.before_late"),
+        "volume_extra": safe_divide((c("__t.orders") - c("__t.before_orders")) * c("__t.before_late"), c("__t.before_orders")), "total_change": c("__t.late") - c("__t.before_late"),
     }).drop("__t")
 
 

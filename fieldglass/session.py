@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # AQE coalesces small shuffles and splits skewed joins.  Joins on (game, x) may reuse
@@ -55,9 +58,18 @@ def literal_table(spark: SparkSession, rows: list[tuple], columns: str):
 
 
 def cut_lineage(df):
-    """Materialise a reused frame in the shared checkpoint folder of the cluster."""
+    """Materialise a reused frame in the shared folder that `spark.checkpoint.dir` names.
+
+    Only a session whose driver is its one executor (local[*]) may go without that setting; it then
+    gets a folder of its own.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/fieldglass-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and re.fullmatch(r"local(\[.*\])?", context.master):
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        if folder is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -82,7 +82,7 @@ def feed_appearances(documents: DataFrame, column: str = "payload") -> DataFrame
     plays = parse(documents, column, schemas.GAME_FEED).select(F.col("doc.gameData.game.pk").alias("game_pk"), F.explode("doc.liveData.plays.allPlays").alias("p"))
     pitches = F.size(F.filter(F.coalesce("p.playEvents", F.array().cast("array<struct<isPitch:boolean,type:string>>")), lambda e: F.coalesce(e["isPitch"], F.lit(False))))
     counted = plays.select("game_pk", F.col("p.about.atBatIndex").alias("at_bat_index"), pitches.cast("bigint").alias("pitches"))
-    return counted.withColumn("at_bat_number", (F.col("at_bat_index") + 1).cast("int"))
+    return counted.filter(F.col("pitches") > 0).withColumn("at_bat_number", (F.col("at_bat_index") + 1).cast("int"))
 
 
 def feed_problems(appearances: DataFrame) -> DataFrame:
