@@ -24,11 +24,13 @@ def _fan_out(df: DataFrame) -> int:
 
 
 def numeric_order(df: DataFrame, name: str) -> Column:
-    """A numeric image of a column that keeps its order (numbers, dates, instants)."""
+    """A numeric image of a column that keeps its order (numbers, dates, instants, first bytes of texts)."""
     kind = df.schema[name].dataType.typeName()
     column = F.col(name)
     if kind == "date":
         return F.unix_date(column).cast("double")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
     if kind in ("timestamp", "timestamp_ntz"):
         return F.unix_micros(column.cast("timestamp")).cast("double")
     return column.cast("double")
@@ -174,7 +176,7 @@ def lookup_by_value(df: DataFrame, table: DataFrame, keys: list[str], carried: l
     for c in carried:
         done = done.withColumnRenamed(f"__h_{c}", c)
     rest = marked.filter(F.col("__is_hot").isNull()).drop("__is_hot", *[f"__h_{c}" for c in carried])
-    return done.unionByName(rest.join(cold, keys, "left"))
+    return done.unionByName(join_null_safe(rest, cold, keys, "left"))
 
 
 def average_rank_shares(
@@ -200,7 +202,7 @@ def average_rank_shares(
     for name, (_, ascending) in columns.items():
         rank = F.col("__rank") if ascending else F.col("__n") + 1 - F.col("__rank")
         shares.append(F.max(F.when(F.col("__metric") == name, rank / F.col("__n"))).alias(name))
-    return df.join(placed.groupBy(*ids).agg(*shares), ids, "left")
+    return join_null_safe(df, placed.groupBy(*ids).agg(*shares), ids, "left")
 
 
 def average_rank_share(df: DataFrame, value: str, names: dict[str, bool]) -> DataFrame:
