@@ -24,7 +24,8 @@ from fieldglass.llm.common import store
 
 FIT_ROWS = 16_384  # vectors that centroids are fitted on, at most
 PROBE_QUERIES = 64  # queries that the length of the walk is measured on, at most
-BLOCK = 8192  # entries, and queries, that one task compares
+BLOCK = 8192  # entries, and queries, that one task compares at most (twice as many entries of one salt)
+SPREAD = 24  # groups of entries that small inputs are dealt into
 
 
 def usable(vectors: DataFrame, name: str = "embedding") -> DataFrame:
@@ -170,11 +171,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, name: str = "embedd
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     probe = queries.orderBy(F.xxhash64("vec_id", F.lit(seed + 1)), "vec_id").limit(PROBE_QUERIES).toPandas()
     enough = _enough(index, probe, exact(probe, entries.select("vec_id", "v"), k), entries, recall) if len(probe) else 0
-    # Rows of the cell grid, taken together until they hold BLOCK entries; larger ones are salted.
+    # Rows of the cell grid, taken together until they hold a block of entries; larger ones are salted.
     by_row = index.counts.sum(axis=1)
-    group_of = (np.cumsum(by_row) - by_row) // BLOCK
+    block = int(min(BLOCK, max(512, count // SPREAD)))
+    group_of = (np.cumsum(by_row) - by_row) // block
     group_of = np.unique(group_of, return_inverse=True)[1]
-    salts = np.maximum(1, -(-np.bincount(group_of, weights=by_row).astype(np.int64) // (2 * BLOCK)))
+    salts = np.maximum(1, -(-np.bincount(group_of, weights=by_row).astype(np.int64) // (2 * block)))
     query_blocks = max(1, math.ceil(queries.count() / BLOCK))
     shared = spark.sparkContext.broadcast((index, group_of, salts, enough))
 
