@@ -114,12 +114,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", trai
     """Texts of all labelled rows where `trains` holds: (cls, fold, text).
 
     A bit set of fixed size drops nearly all other documents before the join, so only labelled texts
-    are shuffled.  A document labelled both ways counts as labelled 1.
+    are shuffled, and of the folds that are counted (all but 0) only each text's distinct words.  The
+    join is a merge join at every size.  A document labelled both ways counts as labelled 1.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(trains) if trains is not None else known
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("cls"))
-    chosen = known.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4)))
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(4)).cast("int").alias("fold")
+    chosen = known
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
     spark = docs.sparkSession
     bits = np.zeros(1 << ID_BITS, dtype=bool)
@@ -131,11 +133,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", trai
         for batch in batches:
             at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = (marks[at >> 3] >> (7 - (at & 7))) & 1
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep.astype(bool))) for c in batch.columns[1:]], ["doc_id", "text"])
+            near = batch.filter(pa.array(keep.astype(bool)))
+            texts = [t if fold == 0 else " ".join(sorted(set(words_of(t)))) for fold, t in zip(near.column(2).to_pylist(), near.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([near.column(1), near.column(2), pa.array(texts, pa.string())], ["doc_id", "fold", "text"])
 
-    rows = docs.select(place.cast("int").alias("place"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    near = rows.where(F.col("doc_id").isNotNull()).mapInArrow(sift, "doc_id long, text string")
-    return store(near.join(chosen, "doc_id").select("cls", "fold", "text"))
+    rows = docs.select(place.cast("int").alias("place"), F.col("doc_id").cast("long"), fold, F.col("text").cast("string"))
+    near = rows.where(F.col("doc_id").isNotNull()).mapInArrow(sift, "doc_id long, fold int, text string")
+    return store(near.join(chosen.hint("merge"), "doc_id").select("cls", "fold", "text"))
 
 
 def _count_words(batches):
