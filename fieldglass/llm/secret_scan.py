@@ -86,7 +86,7 @@ def is_signed_token(run: str) -> bool:
     parts = run.split(".")
     try:
         head, body = (json.loads(_decoded(p) or b"") for p in parts[:2])
-    except (ValueError, UnicodeDecodeError):
+    except (ValueError, RecursionError):  # RecursionError: JSON nested too deeply to be a token's header
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
