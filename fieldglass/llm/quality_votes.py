@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Texts become weighted counts of hashed character trigrams; the leading singular directions of a
-bounded labelled sample map them to short vectors.  The labelled vectors are broadcast; every
+Texts become weighted counts of hashed character trigrams, beside a profile of how soon their words
+come back (damped trigram counts hardly tell a repeated word from a frequent one); the leading
+singular directions of a bounded labelled sample map both to short vectors.  The labelled vectors are broadcast; every
 document is compared with all of them by blocked cosine products, and its nearest ones vote with
 their similarities.
 """
@@ -19,6 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from fieldglass.llm.common import id_remainder, store
 
 TERMS = 2048  # hashed trigrams
+GAPS = 8  # kinds of terms for the distance to a word's last occurrence: first, 1, 2, up to 4, 8, 16, 32, more
 RANK = 48  # latent dimensions
 NEIGHBOURS = 15
 SAMPLE_PER_CLASS = 2048  # labelled rows of each class that are learned from, at most
@@ -37,24 +39,50 @@ def term_counts(text: bytes | None) -> np.ndarray:
     return np.log1p(total).astype(np.float32)
 
 
+def recurrence(text: bytes | None) -> np.ndarray:
+    """Roots of the shares of a text's words by the distance to the same word before: a unit vector."""
+    seen: dict[bytes, int] = {}
+    word = np.fromiter((seen.setdefault(w, len(seen)) for w in (text or b"").split()), dtype=np.int64)
+    if not len(word):
+        return np.zeros(GAPS, dtype=np.float32)
+    order = np.argsort(word, kind="stable")
+    again = word[order][1:] == word[order][:-1]
+    gaps = np.diff(order)[again]
+    kinds = np.minimum(1 + np.ceil(np.log2(gaps)).astype(np.int64), GAPS - 1)
+    counts = np.bincount(kinds, minlength=GAPS)
+    counts[0] = len(seen)
+    return np.sqrt(counts / len(word)).astype(np.float32)
+
+
+def terms(text: bytes | None) -> np.ndarray:
+    """Trigram terms, then recurrence terms; all zero for texts without a trigram."""
+    counts = term_counts(text)
+    return np.concatenate([counts, recurrence(text) if counts.any() else np.zeros(GAPS, dtype=np.float32)])
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms > 0, norms, 1)
 
 
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Rows of terms with both parts at unit length."""
+    return np.hstack([_unit(counts[:, :TERMS] * idf), counts[:, TERMS:]])
+
+
 @dataclass
 class Voters:
     """A fitted space with its labelled vectors; at most 2 * SAMPLE_PER_CLASS rows of RANK numbers."""
 
     idf: np.ndarray
-    axes: np.ndarray  # (TERMS, RANK)
+    axes: np.ndarray  # (TERMS + GAPS, RANK)
     vectors: np.ndarray
     votes: np.ndarray  # label of each vector
     weight: np.ndarray  # rows of the corpus that each vector stands for
     prior: float
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(_unit(counts * self.idf) @ self.axes)
+        return _unit(weighted(counts, self.idf) @ self.axes)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.vectors):
@@ -80,25 +108,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", trains: Colu
 
     def count(batches):
         for batch in batches:
-            rows = [term_counts(t.as_py()).tobytes() for t in batch.column(1).cast(pa.large_binary())]
+            rows = [terms(t.as_py()).tobytes() for t in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["cls", "counts"])
 
     # The ids are at most 2 * SAMPLE_PER_CLASS rows; a repeated id gives at most its first row.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     first = texts.groupBy("doc_id", "cls").agg(F.min("text").alias("text"))
     got = first.select("cls", "text").mapInArrow(count, "cls int, counts binary").toArrow()
-    x = np.array([np.frombuffer(b.as_py(), dtype=np.float32) for b in got.column("counts")], dtype=np.float32).reshape(-1, TERMS)
+    x = np.array([np.frombuffer(b.as_py(), dtype=np.float32) for b in got.column("counts")], dtype=np.float32).reshape(-1, TERMS + GAPS)
     y = np.array(got.column("cls").to_pylist(), dtype=np.float64)
     used = x.any(axis=1)
     x, y = x[used], y[used]
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
     if not len(x):
-        return Voters(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, y, prior)
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    rows = _unit(x * idf)
+        return Voters(np.ones(TERMS, np.float32), np.zeros((TERMS + GAPS, 1), np.float32), np.zeros((0, 1), np.float32), y, y, prior)
+    idf = (np.log((1 + len(x)) / (1 + (x[:, :TERMS] > 0).sum(axis=0))) + 1).astype(np.float32)
+    rows = weighted(x, idf)
     # Leading right singular vectors by subspace iteration.
     rank = min(RANK, len(x))
-    axes = np.random.default_rng(seed).standard_normal((TERMS, rank)).astype(np.float32)
+    axes = np.random.default_rng(seed).standard_normal((TERMS + GAPS, rank)).astype(np.float32)
     for _ in range(8):
         axes = np.linalg.qr(rows.T @ (rows @ axes))[0]
     stands = np.array([totals.get(int(c), 1) / max(1, (y == c).sum()) for c in (0, 1)])
@@ -113,7 +141,7 @@ def add_score(docs: DataFrame, voters: Voters, name: str = "score") -> DataFrame
             texts = batch.column(at).cast(pa.large_binary())
             out = np.zeros(len(texts))
             for start in range(0, len(texts), _BLOCK):
-                counts = np.stack([term_counts(t.as_py()) for t in texts[start:start + _BLOCK]])
+                counts = np.stack([terms(t.as_py()) for t in texts[start:start + _BLOCK]])
                 out[start:start + len(counts)] = shared.value.scores(counts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(out, 0, 1))], names=[*batch.schema.names, name])
 
