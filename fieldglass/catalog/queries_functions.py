@@ -120,16 +120,15 @@ def _(t):
     return t.customer.select("c_custkey", text.normalize_team(code).alias("team"))
 
 
-@query("f12_weather", """SELECT event_id, CASE WHEN user_id % 100 = 0 THEN 'Clear' WHEN user_id % 100 = 3 THEN 'Overcast' WHEN user_id % 100 = 61 THEN 'Light rain'
-    WHEN user_id % 100 = 95 THEN 'Thunderstorm' WHEN user_id % 100 IN (1, 2, 45, 48, 51, 53, 55, 63, 65, 80, 81, 82, 96, 99) THEN 'named' ELSE 'Other' END AS weather,
+_WEATHER_NAMES = " ".join(f"WHEN {code} THEN '{name}'" for code, name in text.WEATHER_CODES.items())
+
+
+@query("f12_weather", f"""SELECT event_id, CASE user_id % 100 {_WEATHER_NAMES} ELSE 'Other' END AS weather,
   CASE WHEN event_type = 'error' THEN 'Controlled environment' WHEN value < 1 THEN 'Forecast unavailable' WHEN value >= 50 AND event_type = 'view' THEN 'Roof decision'
     WHEN value >= 50 THEN 'Elevated rain risk' WHEN value >= 25 THEN 'Weather watch' ELSE 'Low weather risk' END AS risk FROM events""")
 def _(t):
-    code = F.col("user_id") % 100
-    named = text.weather_condition(code)
-    kept = F.when(code.isin(0, 3, 61, 95) | (named == "Other"), named).otherwise("named")
     roof = F.expr("CASE event_type WHEN 'error' THEN 'Dome' WHEN 'view' THEN 'Retractable' WHEN 'click' THEN NULL ELSE 'Open' END")
-    return t.events.select("event_id", kept.alias("weather"), text.weather_risk(roof, F.col("value"), F.col("value") >= 1).alias("risk"))
+    return t.events.select("event_id", text.weather_condition(F.col("user_id") % 100).alias("weather"), text.weather_risk(roof, F.col("value"), F.col("value") >= 1).alias("risk"))
 
 
 @query("f13_logit_platt", """WITH s AS (SELECT event_id, greatest(1e-6, least(1 - 1e-6, value / (SELECT MAX(value) FROM events))) AS p FROM events)

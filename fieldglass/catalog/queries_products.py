@@ -321,11 +321,17 @@ ends AS (SELECT batter_id, COUNT(*) AS statcast_pa, COUNT(*) FILTER (description
 _CONTACT_COLS = ["whiff", "chase", "hard_hit", "barrel", "ev", "covered_avg", "covered_xba", "con_L_xwoba"]
 
 
-@query("a20_contact_metrics", f"""{RAW}, {_HIT}, {_CONTACT_SQL} SELECT batter_id, COALESCE(statcast_pa, 0) AS statcast_pa, COALESCE(bbe, 0) AS bbe, COALESCE(measured_bbe, 0) AS measured_bbe, COALESCE(statcast_ab, 0) AS statcast_ab,
-  COALESCE(covered_ab, 0) AS covered_ab, COALESCE(con_L_n, 0) AS "con_L_n", {', '.join(f'round({c}, 6) AS "{c}"' for c in _CONTACT_COLS)} FROM seen LEFT JOIN ends USING (batter_id)""")
+_CONTACT_REST = f"""rest AS (SELECT batter_id, COUNT(launch_speed_angle) FILTER (description LIKE 'hit_into%') AS classified_bbe, COUNT(xwoba) FILTER (description LIKE 'hit_into%' AND p_throws = 'R') AS con_R_n,
+  AVG(xwoba) FILTER (description LIKE 'hit_into%' AND p_throws = 'R') AS con_R_xwoba, AVG((xba IS NOT NULL OR events LIKE 'strikeout%')::INTEGER) FILTER (events NOT IN {_NOAB}) AS coverage FROM pa GROUP BY 1)"""
+_CONTACT_ALL = [*_CONTACT_COLS, "con_R_xwoba", "coverage"]
+
+
+@query("a20_contact_metrics", f"""{RAW}, {_HIT}, {_CONTACT_SQL}, {_CONTACT_REST} SELECT batter_id, COALESCE(statcast_pa, 0) AS statcast_pa, COALESCE(bbe, 0) AS bbe, COALESCE(measured_bbe, 0) AS measured_bbe, COALESCE(statcast_ab, 0) AS statcast_ab,
+  COALESCE(covered_ab, 0) AS covered_ab, COALESCE(con_L_n, 0) AS "con_L_n",
+  COALESCE(con_R_n, 0) AS "con_R_n", COALESCE(classified_bbe, 0) AS classified_bbe, {', '.join(f'round({c}, 6) AS "{c}"' for c in _CONTACT_ALL)} FROM seen LEFT JOIN ends USING (batter_id) LEFT JOIN rest USING (batter_id)""")
 def _(t):
-    m = hitters.contact_metrics(hit_pitches(t)).select("batter_id", "statcast_pa", "bbe", "measured_bbe", "statcast_ab", "covered_ab", "con_L_n", *_CONTACT_COLS)
-    return rounded(m, *_CONTACT_COLS)
+    m = hitters.contact_metrics(hit_pitches(t)).select("batter_id", "statcast_pa", "bbe", "measured_bbe", "statcast_ab", "covered_ab", "con_L_n", "con_R_n", "classified_bbe", *_CONTACT_ALL)
+    return rounded(m, *_CONTACT_ALL)
 
 
 _BOX = f"""box AS (SELECT batter_id, COUNT(*) AS pa, COUNT(*) FILTER (events NOT IN {_NOAB}) AS ab, COUNT(*) FILTER (events IN ('single','double','triple','home_run')) AS h, COUNT(*) FILTER (events = 'home_run') AS hr,
@@ -361,15 +367,20 @@ def _(t):
     return rounded(players.select("batter_id", "team", "team_games_14", "pa_per_team_game_14", "pa_per_team_game_prev7", "games_3pa_14"), "pa_per_team_game_14", "pa_per_team_game_prev7")
 
 
+_METRIC_EVENTS = {"R": "'home_run'", "HR": "'home_run'", "RBI": "'home_run','sac_fly'", "SB": "'triple'", "H": "'single','double','triple','home_run'"}
+_METRIC_ROWS = ", ".join(f"{{'m': '{m}', 'y': events IN ({e}), 'd': {f'events NOT IN {_NOAB}' if m == 'H' else 'TRUE'}}}" for m, e in _METRIC_EVENTS.items())
+
+
 @query("m20_rate_diagnostic", f"""{RAW}, {_HIT}, o AS (SELECT pa.*, x.o, game_date - (DATE '2024-01-30' - x.o::INTEGER) AS rel FROM pa CROSS JOIN (VALUES (14), (7)) x(o)),
-  g AS (SELECT o, batter_id, COUNT(*) FILTER (rel <= 0) AS spa, COUNT(*) FILTER (rel <= 0 AND events = 'home_run') AS shr, COUNT(*) FILTER (rel BETWEEN -29 AND 0) AS rpa, COUNT(*) FILTER (rel BETWEEN -29 AND 0 AND events = 'home_run') AS rhr,
-    COUNT(*) FILTER (rel BETWEEN 1 AND 7) AS fpa, COUNT(*) FILTER (rel BETWEEN 1 AND 7 AND events = 'home_run') AS fhr FROM o WHERE rel <= 7 GROUP BY 1, 2),
-  l AS (SELECT o, SUM(shr) / SUM(spa) AS lhr FROM g GROUP BY 1)
-  SELECT 'HR' AS metric, COUNT(*) AS player_weeks, round(AVG(abs((rhr + 100 * ((shr - rhr + 200 * lhr) / (spa - rpa + 200))) / (rpa + 100) * fpa - fhr)), 6) AS smoothed_mae, round(AVG(abs(shr / spa * fpa - fhr)), 6) AS season_mae
-  FROM g JOIN l USING (o) WHERE spa >= 5 AND rpa >= 3 AND fpa > 0""")
-def _(t):
-    d = hitters.rate_diagnostic(hit_pitches(t), cutoff(), (14, 7), 5, 3)
-    return rounded(d.filter(F.col("metric") == "HR"), "smoothed_mae", "season_mae")
+  marked AS (SELECT o, batter_id, rel, UNNEST([{_METRIC_ROWS}]) AS u FROM o WHERE rel <= 7),
+  g AS (SELECT o, batter_id, u.m AS metric, COUNT(*) FILTER (rel <= 0) AS spa, COUNT(*) FILTER (rel BETWEEN -29 AND 0) AS rpa, COUNT(*) FILTER (rel >= 1) AS fpa,
+    COUNT(*) FILTER (rel <= 0 AND u.d) AS sd, COUNT(*) FILTER (rel <= 0 AND u.y) AS sy, COUNT(*) FILTER (rel BETWEEN -29 AND 0 AND u.d) AS rd, COUNT(*) FILTER (rel BETWEEN -29 AND 0 AND u.y) AS ry,
+    COUNT(*) FILTER (rel >= 1 AND u.d) AS fd, COUNT(*) FILTER (rel >= 1 AND u.y) AS fy FROM marked GROUP BY 1, 2, 3),
+  l AS (SELECT o, metric, COALESCE(SUM(sy) / NULLIF(SUM(sd), 0), 0) AS league FROM g GROUP BY 1, 2)
+  SELECT metric, COUNT(*) AS player_weeks, round(AVG(abs((ry + 100 * ((sy - ry + 200 * league) / (sd - rd + 200))) / (rd + 100) * fd - fy)), 6) AS smoothed_mae, round(AVG(abs(COALESCE(sy / NULLIF(sd, 0), 0) * fd - fy)), 6) AS season_mae
+  FROM g JOIN l USING (o, metric) WHERE spa >= 5 AND rpa >= 3 AND fpa > 0 GROUP BY 1""")
+def _(t):
+    return rounded(hitters.rate_diagnostic(hit_pitches(t), cutoff(), (14, 7), 5, 3), "smoothed_mae", "season_mae")
 
 
 def hitter_radar(t):

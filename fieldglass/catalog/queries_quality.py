@@ -383,15 +383,20 @@ def _(t):
     return sinks.json_rows(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", ratio.alias("ratio"), "l_shipdate"))
 
 
-@query("f30_content_signature", "SELECT COUNT(*) AS rows FROM lineitem")
+_SIGNED = ["l_linenumber", "l_linestatus", "l_orderkey", "l_partkey", "l_returnflag", "l_suppkey"]  # whole numbers and texts: one JSON form everywhere
+_SIGNED_JSON = " || ',' || ".join(f"""'"{c}":"' || {c} || '"'""" if c in ("l_linestatus", "l_returnflag") else f"""'"{c}":' || {c}""" for c in _SIGNED)
+_PIECES = " || '|' || ".join(f"SUM(('0x' || substr(h, {1 + 12 * i}, 12))::BIGINT)::VARCHAR" for i in range(5))
+
+
+@query("f30_content_signature", f"SELECT COUNT(*) AS rows, sha256({_PIECES}) AS signature FROM (SELECT sha256('{{' || {_SIGNED_JSON} || '}}') AS h FROM lineitem)")
 def _(t):
-    return sinks.content_signature(t.lineitem).select("rows")
+    return sinks.content_signature(t.lineitem.select(*_SIGNED))
 
 
-@query("f27_schedule_json", "SELECT o_custkey % 50 AS team, CAST(COUNT(*) AS BIGINT) AS games FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1998-05-01' AND TIMESTAMP '1998-05-31' GROUP BY 1")
+@query("f27_schedule_json", """SELECT o_custkey || '/' || strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS team,
+  '[' || string_agg('{"starts_at_utc":"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '","game_pk":' || o_orderkey || '}', ',' ORDER BY o_orderdate, o_orderkey) || ']' AS schedule_json FROM orders GROUP BY 1""")
 def _(t):
     from fieldglass.plans.hitters import schedule_json
 
-    month = t.orders.filter(F.col("o_orderdate").between(F.lit("1998-05-01").cast("timestamp_ntz"), F.lit("1998-05-31").cast("timestamp_ntz")))
-    games = month.select((F.col("o_custkey") % 50).alias("team"), F.col("o_orderdate").cast("string").alias("starts_at_utc"), F.col("o_orderkey").alias("game_pk"))
-    return schedule_json(games).select("team", F.json_array_length("schedule_json").cast("bigint").alias("games"))
+    team = F.concat_ws("/", "o_custkey", F.date_format(F.date_trunc("week", "o_orderdate"), "yyyy-MM-dd"))  # one customer's week bounds a list
+    return schedule_json(t.orders.select(team.alias("team"), F.col("o_orderdate").cast("string").alias("starts_at_utc"), F.col("o_orderkey").alias("game_pk")))
