@@ -141,29 +141,51 @@ def _(t):
     return rounded(modeling.latest_predictions(_whiffs(t), "pitch_type").select("pitch_id", "pitch_type", "predicted_probability"), "predicted_probability")
 
 
-@query("m11_calibration_gate")
+@query("m11_calibration_gate", f"""{_SCORED}, v AS (SELECT *, ROW_NUMBER() OVER (ORDER BY game_date, event_id) AS i, greatest(1, least(COUNT(*) OVER () - 1, floor(COUNT(*) OVER () * 0.7::DOUBLE))) AS cut FROM s WHERE model = 'steep' AND split = 'validation'),
+  tail AS (SELECT *, (SELECT COUNT(*) FROM range(1, 10) e WHERE p > e.range * 0.1::DOUBLE) AS bin FROM v WHERE i > cut), b AS (SELECT bin, COUNT(*) AS n, AVG(y) AS o, AVG(p) AS q FROM tail GROUP BY 1)
+  SELECT CAST(MAX(cut) AS BIGINT) AS fit_rows, COUNT(*) AS check_rows, round(AVG(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS raw_log_loss, (SELECT round(SUM(n * abs(o - q)) / SUM(n), 6) FROM b) AS raw_ece,
+  COUNT(*) > 0 AS agrees, COUNT(*) > 0 AS fit_improves FROM tail""")
 def _(t):
+    """The tail's raw metrics, whether the verdict follows from the metrics, and whether the fit helps a badly scaled score."""
     validation = _scored(t).filter((F.col("split") == "validation") & (F.col("model") == "steep"))
-    return modeling.calibration_gate(validation, "y", "p", "game_date", "event_id")
+    gate = modeling.calibration_gate(validation, "y", "p", "game_date", "event_id")
+    better = (F.col("calibrated_log_loss") < F.col("raw_log_loss")) & (F.col("calibrated_ece") < F.col("raw_ece"))
+    return rounded(gate.select(F.col("fit_rows").cast("bigint").alias("fit_rows"), "check_rows", "raw_log_loss", "raw_ece", (better == F.col("accepted")).alias("agrees"),
+                               (F.col("calibrated_log_loss") < F.col("raw_log_loss")).alias("fit_improves")), "raw_log_loss", "raw_ece")
 
 
 def _training_rows(t):
-    lines = t.lineitem.select(fl.as_flag(F.col("l_returnflag") == "R").cast("double").alias("label"), "l_quantity", "l_extendedprice", F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("l_tax"), "l_discount", "l_linestatus", F.year("l_shipdate").alias("year"), "l_orderkey")
-    return lines
+    """A label that quantity and status decide up to noise of the part number; the other columns say nothing."""
+    dealt = F.col("l_quantity") + F.col("l_partkey") % 20 + F.when(F.col("l_linestatus") == "F", 5).otherwise(0)
+    return t.lineitem.select(
+        fl.as_flag(dealt > 38).cast("double").alias("label"), "l_quantity", F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("l_tax"), "l_discount",
+        "l_linestatus", F.concat(F.lit("S"), (F.col("l_suppkey") % 50).cast("string")).alias("supplier_group"), F.year("l_shipdate").alias("year"))
 
 
-@query("m8_logistic_fit")
-def _(t):
+_NUMBERS, _CATEGORIES = ["l_quantity", "l_tax", "l_discount"], ["l_linestatus", "supplier_group"]
+_CONSTANT = """WITH r AS (SELECT (l_quantity + l_partkey % 20 + CASE WHEN l_linestatus = 'F' THEN 5 ELSE 0 END > 38)::INTEGER AS y, year(l_shipdate) AS year FROM lineitem), b AS (SELECT AVG(y) AS p FROM r WHERE year < 1999)
+  SELECT COUNT(*) AS rows, round(-AVG(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS constant_log_loss, COUNT(*) > 0 AS beats_constant, COUNT(*) > 0 AS ranks_well FROM r, b WHERE year >= 1999"""
+
+
+def _fit_verdict(t, fit):
+    """A fitted model's test rows against the training rate as a constant: the verdict, not the digits, must agree."""
     rows = _training_rows(t)
-    fitted = modeling.fit_logistic(rows.filter(F.col("year") < 1999), "label", ["l_quantity", "l_extendedprice", "l_tax", "l_discount"], ["l_linestatus"], max_iter=50)
-    return modeling.evaluate(fitted.score(rows.filter(F.col("year") >= 1999), "p").withColumn("model", F.lit("logistic")), ["model"], "label", "p")
+    train, test = rows.filter(F.col("year") < 1999), rows.filter(F.col("year") >= 1999)
+    scored = fit(train, "label", _NUMBERS, _CATEGORIES).score(test, "p").withColumn("constant", train.agg(F.avg("label")).scalar())
+    metrics = modeling.evaluate(scored, [], "label", "p").select("rows", "log_loss", "roc_auc")
+    loss = F.avg(-(F.col("label") * F.log("constant") + (1 - F.col("label")) * F.log(1 - F.col("constant"))))
+    held = metrics.withColumn("constant_log_loss", scored.agg(loss).scalar())
+    return held.select("rows", F.round("constant_log_loss", 6).alias("constant_log_loss"), (F.col("log_loss") < F.col("constant_log_loss")).alias("beats_constant"), (F.col("roc_auc") > 0.75).alias("ranks_well"))
 
 
-@query("m9_boosting_fit")
+@query("m8_logistic_fit", _CONSTANT)
 def _(t):
-    rows = _training_rows(t)
-    fitted = modeling.fit_boosting(rows.filter(F.col("year") < 1999), "label", ["l_quantity", "l_extendedprice", "l_tax", "l_discount"], ["l_linestatus"], max_iter=5, depth=3)
-    return modeling.evaluate(fitted.score(rows.filter(F.col("year") >= 1999), "p").withColumn("model", F.lit("boosting")), ["model"], "label", "p")
+    return _fit_verdict(t, modeling.fit_logistic)
+
+
+@query("m9_boosting_fit", _CONSTANT)
+def _(t):
+    return _fit_verdict(t, modeling.fit_boosting)
 
 
 @query("m17_league_priors", f"""{BIND}, a AS (SELECT game_pk, pitcher_team, pitcher_id, COUNT(*) FILTER (plate_appearance_event <> 'truncated_pa') AS b, COUNT(*) FILTER (plate_appearance_event LIKE 'strikeout%') AS k, MIN(pitch_number) AS f, ANY_VALUE(game_date) AS d FROM fact JOIN ctx USING (game_pk)

@@ -183,10 +183,10 @@ def _(t):
   f AS (SELECT st.game_pk, st.pitcher_team, stream_score, CASE WHEN stream_score IS NULL THEN 0 ELSE CASE weather_risk WHEN 'Elevated rain risk' THEN 8 WHEN 'Roof decision' THEN 4 WHEN 'Weather watch' THEN 3 ELSE 0 END
     + CASE WHEN multiple >= 2 THEN 0 WHEN multiple >= 1.35 THEN 2 ELSE 4 END + CASE WHEN change <= -5 THEN 3 ELSE 0 END END AS pen, COALESCE(0.6 * stream_score + 0.4 * k, stream_score) AS basis
     FROM st LEFT JOIN up USING (game_pk, pitcher_team) WHERE profile_key = 'roto_balance')
-  SELECT game_pk, pitcher_team, pen AS scenario_penalty, CASE WHEN stream_score IS NULL THEN 'Wait for evidence' WHEN greatest(0, least(100, basis - pen)) >= 80 THEN 'Priority shortlist' WHEN greatest(0, least(100, basis - pen)) >= 70 THEN 'Shortlist'
+  SELECT game_pk, pitcher_team, round(CASE WHEN stream_score IS NOT NULL THEN greatest(0, least(100, basis - pen)) END, 1) AS fit_score, pen AS scenario_penalty, CASE WHEN stream_score IS NULL THEN 'Wait for evidence' WHEN greatest(0, least(100, basis - pen)) >= 80 THEN 'Priority shortlist' WHEN greatest(0, least(100, basis - pen)) >= 70 THEN 'Shortlist'
   ELSE 'Below threshold' END AS strategy_action FROM f""")
 def _(t):
-    return matchup.personal_fit(_stream(t), "roto_balance", True, "Low risk").select("game_pk", "pitcher_team", "scenario_penalty", "strategy_action")
+    return matchup.personal_fit(_stream(t), "roto_balance", True, "Low risk").select("game_pk", "pitcher_team", F.col("personalized_fit_score").alias("fit_score"), "scenario_penalty", "strategy_action")
 
 
 # ---- forecast ----------------------------------------------------------------------------
@@ -282,17 +282,34 @@ def _(t):
     return earliest_forecast(_archive(t), ["game_pk", "pitcher_id"], "generated_at_utc", "model_version").select("game_pk", "pitcher_id", "model_version", "predicted_k")
 
 
-@query("m19_upcoming_forecast")
+_UPCOMING = f"""{_APP}, seen AS (SELECT * FROM app WHERE game_date <= DATE '2024-01-28'),
+lp AS (SELECT AVG(batters_faced) FILTER (is_starter) AS sb, AVG(strikeouts) FILTER (is_starter) AS sk, SUM(strikeouts) FILTER (is_starter) / SUM(batters_faced) FILTER (is_starter) AS skr, SUM(strikeouts) / SUM(batters_faced) AS okr FROM seen WHERE game_date <= DATE '2024-01-20'),
+ask AS (SELECT * FROM slots WHERE pitcher_id IS NOT NULL AND game_datetime_utc > TIMESTAMP '2024-01-28' AND game_date > (SELECT MAX(game_date) FROM seen)),
+form AS (SELECT pitcher_id, COUNT(*) AS starts, SUM(batters_faced) AS pb, SUM(strikeouts) AS pk, MAX(game_date) AS last_start_date
+  FROM (SELECT * FROM seen WHERE is_starter QUALIFY ROW_NUMBER() OVER (PARTITION BY pitcher_id ORDER BY game_date DESC, game_pk DESC, pitcher_team DESC) <= 5) GROUP BY 1),
+foe AS (SELECT a.game_pk, a.pitcher_team, SUM(s.batters_faced) AS ob, SUM(s.strikeouts) AS ok FROM ask a JOIN seen s ON s.opponent_team = a.opponent_team AND s.game_date BETWEEN a.game_date - 30 AND a.game_date - 1 GROUP BY 1, 2),
+made AS (SELECT a.game_pk, a.pitcher_team, a.pitcher_id, a.game_datetime_utc, COALESCE(starts, 0) AS prior_starts, last_start_date, (COALESCE(pk, 0) + 3 * sk) / (COALESCE(starts, 0) + 3) AS recent_starts,
+  (COALESCE(pb, 0) + 3 * sb) / (COALESCE(starts, 0) + 3) * ((COALESCE(pk, 0) + 50 * skr) / (COALESCE(pb, 0) + 50)) * least(1.2, greatest(0.8, sqrt(((COALESCE(ok, 0) + 100 * okr) / (COALESCE(ob, 0) + 100)) / okr))) AS workload_opponent
+  FROM ask a LEFT JOIN form USING (pitcher_id) LEFT JOIN foe USING (game_pk, pitcher_team), lp)"""
+
+
+@query("m19_upcoming_forecast", f"""{BIND}, {_SLOTS}, {_UPCOMING} SELECT game_pk, pitcher_team, pitcher_id, CAST(prior_starts AS BIGINT) AS prior_starts, last_start_date, round(workload_opponent, 6) AS predicted_k,
+  CAST(greatest(0, ceil(workload_opponent - 1.5)) AS INTEGER) AS lower_k, CAST(greatest(0, ceil(workload_opponent - 1.5), floor(workload_opponent + 1.5)) AS INTEGER) AS upper_k,
+  CASE WHEN prior_starts < 3 THEN 'Limited starting history' ELSE 'At least 3 prior starts' END AS sample_status FROM made""")
 def _(t):
     rows = forecast.appearances(t.stored_fact, t.context).filter(F.col("game_date") <= F.lit("2024-01-28").cast("date"))
-    return forecast.upcoming(slots(t), rows, "2024-01-20", "workload_opponent", 1.5, F.lit("2024-01-28 00:00:00").cast("timestamp"))
+    up = forecast.upcoming(slots(t), rows, "2024-01-20", "workload_opponent", 1.5, F.lit("2024-01-28 00:00:00").cast("timestamp"))
+    return rounded(up.select("game_pk", "pitcher_team", "pitcher_id", "prior_starts", "last_start_date", "predicted_k", "lower_k", "upper_k", "sample_status"), "predicted_k")
 
 
-@query("j16_comparison")
+@query("j16_comparison", f"""{_RADAR_SQL}, {_SLOTS}, {_UPCOMING}, r AS (SELECT pitcher_id, fantasy_signal, rank FROM radar WHERE window_days = 14 AND profile_key = 'roto_balance'),
+  n AS (SELECT * FROM made QUALIFY ROW_NUMBER() OVER (PARTITION BY pitcher_id ORDER BY game_datetime_utc) = 1)
+  SELECT pitcher_id, round(fantasy_signal, 1) AS fantasy_signal, rank, game_datetime_utc, round(recent_starts, 6) AS predicted_k FROM r FULL JOIN n USING (pitcher_id)""")
 def _(t):
     rows = forecast.appearances(t.stored_fact, t.context).filter(F.col("game_date") <= F.lit("2024-01-28").cast("date"))
     up = forecast.upcoming(slots(t), rows, "2024-01-20", "recent_starts", 1.5, F.lit("2024-01-28 00:00:00").cast("timestamp"))
-    return forecast.comparison(_radar(t), up)
+    both = forecast.comparison(_radar(t), up).select("pitcher_id", F.round("fantasy_signal", 1).alias("fantasy_signal"), "rank", "game_datetime_utc", "predicted_k")
+    return rounded(both, "predicted_k")
 
 
 # ---- hitters -----------------------------------------------------------------------------

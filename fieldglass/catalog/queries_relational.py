@@ -384,14 +384,15 @@ def _(t):
     return rounded(dashboard.velocity_whiff(gold.pitch_summary(t.fact)), "whiff_rate")
 
 
-@_a31("a31_pitcher_table", """SELECT pitcher_id, MIN(pitcher_name) AS pitcher_name, MIN(pitcher_throws) AS pitcher_throws, SUM(pitch_count)::BIGINT AS pitch_count,
+@_a31("a31_pitcher_table", """SELECT pitcher_id, MIN(pitcher_name) AS pitcher_name, MIN(pitcher_team) AS pitcher_team, MIN(pitcher_throws) AS pitcher_throws, SUM(pitch_count)::BIGINT AS pitch_count,
+  round((SUM(velocity_total) / NULLIF(SUM(pitch_count - missing_velocity_count), 0))::DECIMAL(18, 6), 1)::DOUBLE AS avg_velocity,
   round(SUM(in_zone_count) / SUM(pitch_count), 6) AS zone_rate, round(SUM(whiff_count) / NULLIF(SUM(swing_count), 0), 6) AS whiff_rate,
   round(SUM(chase_count) / NULLIF(SUM(pitch_count - in_zone_count), 0), 6) AS chase_rate, round(SUM(hard_hit_count) / NULLIF(SUM(measured_batted_ball_count), 0), 6) AS hard_hit_rate
   FROM summary GROUP BY 1 HAVING SUM(pitch_count) >= 20""")
 def _(t):
     from fieldglass.plans import dashboard
 
-    table = dashboard.pitcher_table(gold.pitch_summary(t.fact), 20).drop("avg_velocity", "pitcher_team")
+    table = dashboard.pitcher_table(gold.pitch_summary(t.fact), 20)
     return rounded(table, "zone_rate", "whiff_rate", "chase_rate", "hard_hit_rate")
 
 
@@ -488,9 +489,9 @@ def _(t):
     from fieldglass.plans.history import first_event_of_game
 
     dated = t.events.withColumn("day", F.to_date("ts"))
-    marked = first_event_of_game(dated, ["user_id"], "day", [F.col("ts")], "a")
-    marked = first_event_of_game(marked, ["user_id", "event_type"], "day", [F.col("ts")], "b")
-    return marked.select("event_id", (F.col("a") == 1).alias("first_of_day"), (F.col("b") == 1).alias("first_of_type"))
+    marked = first_event_of_game(dated, ["user_id"], "day", ["ts", "event_id"], "first_of_day")
+    marked = first_event_of_game(marked, ["user_id", "event_type"], "day", ["ts", "event_id"], "first_of_type")
+    return marked.select("event_id", "first_of_day", "first_of_type")
 
 
 @query("w5_prior_rows", """SELECT event_id, user_id, COUNT(*) OVER a AS prior_50_count, round(AVG((value >= 50)::INTEGER) OVER a, 6) AS prior_50_rate, COUNT(*) OVER b AS prior_20_count,
@@ -671,11 +672,15 @@ def _(t):
     return shape.evenly_spaced(t.events.select(F.to_date("ts").alias("day")), "day")
 
 
-@query("t10_seeded_sample")
+@query("t10_seeded_sample", "SELECT LEAST(500, COUNT(*)) AS rows, LEAST(500, COUNT(*)) AS rows_of_table FROM events")
 def _(t):
     from fieldglass.plans.modeling import seeded_cap
 
-    return seeded_cap(t.events.select("event_id", "ts", "value"), ["event_id"], 500, seed=42, order="ts")
+    e = t.events.select("event_id", "ts", "value")
+    first, again = (seeded_cap(df, ["event_id"], 500, seed=42, order="ts") for df in (e, e.repartition(3, "value")))
+    both = first.join(again, ["event_id", "ts", "value"], "full")  # a row in one sample only makes it longer
+    known = both.join(e, ["event_id", "ts", "value"], "left_semi")
+    return both.agg(F.count("*").alias("rows")).withColumn("rows_of_table", known.agg(F.count("*")).scalar())
 
 
 @query("t11_first_dates", "SELECT event_id FROM events QUALIFY DENSE_RANK() OVER (ORDER BY CAST(ts AS DATE)) <= 3")

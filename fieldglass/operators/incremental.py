@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.operators.ordered import latest_per_key
+from fieldglass.sources.sinks import ROWS_PER_FILE, spread
 
 EPOCH = "1900-01-01"
 
@@ -49,7 +50,7 @@ def upsert_partitions(spark: SparkSession, path: str, fresh: DataFrame, keys: li
         merged, emptied = fresh, []
     merged.write.mode("overwrite").partitionBy(day).parquet(staging)
     staged = spark.read.parquet(staging)
-    staged.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    spread(staged, day, keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
     for value in emptied:
         _folder(spark, f"{path}/{day}={value}", delete=True)
 
@@ -76,11 +77,10 @@ def weekly_compaction(ledger: DataFrame, day: str = "partition_date") -> DataFra
     ).withColumns({"week_end": F.date_add("week_start", 6), "complete": F.col("days") == 7})
 
 
-def compact_weeks(spark: SparkSession, source: str, target: str, day: str, files_per_week: int = 1) -> None:
-    """Rewrite daily partitions as weekly ones."""
+def compact_weeks(spark: SparkSession, source: str, target: str, day: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Rewrite daily partitions as weekly ones, in files of a bounded number of rows."""
     weekly = spark.read.parquet(source).withColumn("week_start", F.trunc(day, "week"))
-    spread = weekly.repartition("week_start", F.pmod(F.xxhash64(*weekly.columns), F.lit(files_per_week)))
-    spread.sortWithinPartitions("week_start", day).write.mode("overwrite").partitionBy("week_start").parquet(target)
+    spread(weekly, "week_start", weekly.columns, rows_per_file).sortWithinPartitions("week_start", day).write.mode("overwrite").partitionBy("week_start").parquet(target)
 
 
 def chunk_plan(ranges: DataFrame) -> DataFrame:

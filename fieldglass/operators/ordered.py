@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.session import cut_lineage
+
 _HOT_PARTS = 64
 
 
@@ -44,19 +46,20 @@ def with_order_bucket(df: DataFrame, axis: Column, name: str = "__bucket") -> Da
     """
     side = _fan_out(df)
     cuts = side * side
-    limits = df.agg(
-        F.percentile_approx(axis, [i / cuts for i in range(1, cuts)], 20 * cuts)
-    ).scalar()
+    found = df.agg(F.percentile_approx(axis, [i / cuts for i in range(1, cuts)], 20 * cuts).alias("fine"))
+    every = F.filter("fine", lambda _, i: (i + 1) % side == 0)
+    limits = found.select(F.struct("fine", every.alias("coarse"))).scalar()
+    # A row looks at every side-th limit, then at the one stretch of `side` limits that it falls into.
+    below_axis = lambda part: F.size(F.filter(part, lambda limit: limit < F.col("__axis")))
     staged = df.withColumn("__axis", axis).withColumn("__limits", limits)
-    coarse = F.filter("__limits", lambda limit, i: ((i + 1) % side == 0) & (limit < F.col("__axis")))
-    staged = staged.withColumn("__coarse", F.coalesce(F.size(coarse), F.lit(0)))
-    fine = F.slice("__limits", F.col("__coarse") * side + 1, side)
-    below = F.col("__coarse") * side + F.size(F.filter(fine, lambda limit: limit < F.col("__axis")))
-    at_limit = F.array_contains("__limits", F.col("__axis"))
-    bucket = F.when(F.col("__axis").isNull() | F.col("__limits").isNull(), F.lit(-1)).otherwise(
-        2 * below + at_limit.cast("int")
+    staged = staged.withColumn("__coarse", F.greatest(below_axis(F.col("__limits.coarse")), F.lit(0)))
+    stretch = F.slice(F.col("__limits.fine"), F.col("__coarse") * side + 1, side)
+    staged = staged.withColumn("__below", F.col("__coarse") * side + below_axis(stretch))
+    at_limit = F.coalesce(F.get(F.col("__limits.fine"), F.col("__below")) == F.col("__axis"), F.lit(False))
+    bucket = F.when(F.col("__axis").isNull() | F.col("__limits.fine").isNull(), F.lit(-1)).otherwise(
+        2 * F.col("__below") + at_limit.cast("int")
     )
-    return staged.withColumn(name, bucket).drop("__axis", "__limits", "__coarse")
+    return staged.withColumn(name, bucket).drop("__axis", "__limits", "__coarse", "__below")
 
 
 def _same(keys: list[str], left: str, right: str) -> Column:
@@ -150,9 +153,14 @@ def unique_rank(
     return ranked.unionByName(missing)
 
 
-def value_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows per key and distinct value, written once: limits, sums and totals all read them."""
+    return cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("peers")))
+
+
+def value_positions(df: DataFrame, keys: list[str], value: str, counted: DataFrame | None = None) -> DataFrame:
     """One row per key and distinct value: its count, and how many rows lie below it."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("peers"))
+    counted = value_counts(df, keys, value) if counted is None else counted
     placed = running_sums(
         counted, keys, numeric_order(counted, value), [F.col(value).asc()], {"through": F.col("peers")}
     )
@@ -194,8 +202,9 @@ def average_rank_shares(
     long = df.select(*ids, F.explode(options).alias("__x")).select(*ids, F.col("__x.m").alias("__metric"), F.col("__x.v").alias("__value"))
     long = long.filter(F.col("__value").isNotNull())
     group = [*keys, "__metric"]
-    sizes = long.groupBy(*group).agg(F.count("*").alias("__n"))
-    spots = join_null_safe(value_positions(long, group, "__value"), sizes, group)
+    counted = value_counts(long, group, "__value")
+    sizes = counted.groupBy(*group).agg(F.sum("peers").alias("__n"))
+    spots = join_null_safe(value_positions(long, group, "__value", counted), sizes, group)
     spots = spots.withColumn("__rank", F.col("below") + (F.col("peers") + 1) / 2)
     placed = lookup_by_value(long, spots.select(*group, "__value", "peers", "__rank", "__n"), [*group, "__value"], ["__rank", "__n"])
     shares = []
@@ -223,9 +232,10 @@ def exact_quantiles(
 
     `how` is "linear" (interpolated between neighbours) or "higher" (the next observation).
     """
-    spots = value_positions(df, keys, value)
-    sizes = spots.groupBy(*keys).agg(F.sum("peers").alias("n"))
-    positioned = join_null_safe(spots, sizes, keys) if keys else spots.withColumn("n", spots.agg(F.sum("peers")).scalar())
+    counted = value_counts(df, keys, value)
+    spots = value_positions(df, keys, value, counted)
+    sizes = counted.groupBy(*keys).agg(F.sum("peers").alias("n"))
+    positioned = join_null_safe(spots, sizes, keys) if keys else spots.withColumn("n", counted.agg(F.sum("peers")).scalar())
     number = F.col(value).cast("double")
     aggregates = []
     for name, fraction in fractions.items():
@@ -307,7 +317,8 @@ def prior_days(
 
     The frame splits into whole days in between (one row per key and day), the part of
     today before the instant, and the part of the oldest day at or after the left edge.
-    Each piece is a window over one key's single day, never over a key's whole history.
+    The parts of a day are running sums carried over order buckets, so a busy key's day is many
+    tasks' work; whole days are summed over one row per key and day.
     """
     prefix = prefix or f"prior_{days}d"
     micros_per_day = 86_400_000_000
@@ -324,12 +335,11 @@ def prior_days(
         zero.alias("__n"), zero.alias("__known"), zero.alias("__sum"), F.lit("edge").alias("__role"),
     )
     probes = here.unionByName(edge).withColumn("__day", F.floor(F.col("__probe") / micros_per_day).cast("bigint"))
-    within = (
-        Window.partitionBy(*keys, "__day").orderBy("__probe").rangeBetween(Window.unboundedPreceding, -1)
-    )
     parts = ["__n", "__known", "__sum"]
-    for p in parts:
-        probes = probes.withColumn(f"{p}_b", F.coalesce(F.sum(p).over(within), F.lit(0)))
+    # Edges count nothing and come before the instant they share; less its own, a sum is that of earlier instants.
+    order = [F.col("__probe"), F.col("__role")]
+    probes = running_sums(probes, [*keys, "__day"], F.col("__probe").cast("double"), order, {f"{p}_b": F.col(p) for p in parts})
+    probes = probes.withColumns({f"{p}_b": F.col(f"{p}_b") - F.col(p) for p in parts})
     pieces = probes.groupBy(*keys, "__at").agg(
         *[F.max(F.when(F.col("__role") == "now", F.col(f"{p}_b"))).alias(f"{p}_now") for p in parts],
         *[F.max(F.when(F.col("__role") == "edge", F.col(f"{p}_b"))).alias(f"{p}_edge") for p in parts],

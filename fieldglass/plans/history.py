@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.operators.ordered import join_null_safe
 from fieldglass.plans.gold import pitch_model_features
 from fieldglass.session import cut_lineage
 
@@ -116,14 +117,14 @@ def entity_history(events: DataFrame, entity: Entity, label: str, target: Target
 def pregame_training(features: DataFrame, target: Target, entities: list[Entity] | None = None, materialise: bool = True) -> DataFrame:
     """Eligible pitches with every entity's frozen history and the renamed label.
 
-    All joins include the game, so one repartition by game serves them; history tables
-    hold one row per entity-game.  The eligible rows feed eleven branches, so they are
-    written once to the checkpoint folder instead of being recomputed per branch.
+    History tables hold one row per entity-game, and every join is on the entity and the game.
+    The eligible rows feed eleven branches, so they are written once to the checkpoint folder
+    instead of being recomputed per branch.
     """
     rows = eligible(features, target)
     if materialise:
         rows = cut_lineage(rows)
-    out = rows.repartition("game_pk")
+    out = rows
     for entity in entities or ENTITIES:
         out = out.join(entity_history(rows, entity, target.label, target), ["game_pk", *entity.keys])
     return out.withColumn(f"target_{target.key}", F.col(target.label)).drop(
@@ -136,6 +137,11 @@ def training_marts(fact: DataFrame, context: DataFrame) -> dict[str, DataFrame]:
     return {t.key: pregame_training(features, t) for t in (WHIFF, HARD_HIT)}
 
 
-def first_event_of_game(events: DataFrame, keys: list[str], game: str, order: list[Column], name: str = "event_number") -> DataFrame:
-    """Number events inside one entity-game; 1 marks the first."""
-    return events.withColumn(name, F.row_number().over(Window.partitionBy(*keys, game).orderBy(*order)))
+def first_event_of_game(events: DataFrame, keys: list[str], game: str, order: list[str], name: str = "is_first") -> DataFrame:
+    """Mark the first event of each entity-game; `order` must tell its events apart.
+
+    The least order tuple is an aggregate with partial results, so no entity-game is sorted in one task.
+    """
+    first = events.groupBy(*keys, game).agg(F.min(F.struct(*order)).alias("__first"))
+    marked = join_null_safe(events, first, [*keys, game])
+    return marked.withColumn(name, F.struct(*order).eqNullSafe(F.col("__first"))).drop("__first")

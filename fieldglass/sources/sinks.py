@@ -6,6 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+ROWS_PER_FILE = 4_000_000
+
+
+def spread(df: DataFrame, part: str, by: list[str], rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Shuffle rows so that each part (a day, a week) gets as many tasks as its rows need.
+
+    Rows with equal values of `by` stay together.  The counts have one row per calendar day or week.
+    """
+    files = df.groupBy(F.col(part).alias("__part")).agg(F.ceil(F.count("*") / F.lit(rows_per_file)).alias("__files"))
+    sized = df.join(F.broadcast(files), F.col(part).eqNullSafe(F.col("__part")))
+    return sized.repartition(part, F.pmod(F.xxhash64(*by), F.col("__files"))).drop("__part", "__files")
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -13,13 +26,12 @@ def write_table(df: DataFrame, path: str) -> None:
 def write_landing(df: DataFrame, path: str, start: str, end: str, day: str = "game_date") -> None:
     """Lineage columns, a day partition per folder, rows in event order inside each file."""
     stamped = df.withColumns({"source_start_date": F.lit(start), "source_end_date": F.lit(end), "loaded_at_utc": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")})
-    stamped.repartition(day).sortWithinPartitions(day, "game_pk", "at_bat_number", "pitch_number").write.mode("overwrite").partitionBy(day).parquet(path)
+    spread(stamped, day, ["game_pk", "at_bat_number", "pitch_number"]).sortWithinPartitions(day, "game_pk", "at_bat_number", "pitch_number").write.mode("overwrite").partitionBy(day).parquet(path)
 
 
-def write_clustered(df: DataFrame, path: str, day: str = "game_date", cluster: tuple[str, ...] = ("pitcher_id", "pitch_type"), splits: int = 1) -> None:
-    """Day partitions clustered inside; `splits` files per day keep a large day off one task."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in cluster]), F.lit(splits))
-    df.repartition(day, salt).sortWithinPartitions(day, *cluster).write.mode("overwrite").partitionBy(day).parquet(path)
+def write_clustered(df: DataFrame, path: str, day: str = "game_date", cluster: tuple[str, ...] = ("pitcher_id", "pitch_type"), rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Day partitions clustered inside; a large day is spread over files by its cluster columns."""
+    spread(df, day, list(cluster), rows_per_file).sortWithinPartitions(day, *cluster).write.mode("overwrite").partitionBy(day).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, order: list | None = None) -> None:

@@ -43,7 +43,7 @@ def test_landing_round_trips(spark, tmp_path):
     sinks.write_landing(df, str(tmp_path / "land"), "2025-04-01", "2025-04-01")
     back = landing.read_partitions(spark, [str(tmp_path / "land")])
     assert back.count() == 2 and {"source_start_date", "loaded_at_utc"} <= set(back.columns)
-    sinks.write_clustered(df.withColumn("pitcher_id", F.lit(1)), str(tmp_path / "clustered"), splits=2)
+    sinks.write_clustered(df.withColumn("pitcher_id", F.lit(1)), str(tmp_path / "clustered"), rows_per_file=2)
     assert spark.read.parquet(str(tmp_path / "clustered")).count() == 2
     sinks.write_csv(df.select("game_pk", "pitch_type"), str(tmp_path / "csv"), ["pitch_type"])
     assert [r.pitch_type for r in landing.read_csv(spark, str(tmp_path / "csv"), "game_pk long, pitch_type string").orderBy("pitch_type").collect()] == ["FF", "SL"]
