@@ -37,6 +37,8 @@ DISCOUNTS = (1.0, 1.5, 2.0)
 # A word's log ratio beyond this is strong evidence by itself.
 STRONG = 3.0
 FEATURES = 4
+# Labelled documents that the calibration learns from, at most; the counts use all the others.
+CALIBRATION = 20_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -114,14 +116,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", trai
     """Texts of all labelled rows where `trains` holds: (cls, fold, text).
 
     A bit set of fixed size drops nearly all other documents before the join, so only labelled texts
-    are shuffled, and of the folds that are counted (all but 0) only each text's distinct words.  The
-    join is a merge join at every size.  A document labelled both ways counts as labelled 1.
+    are shuffled, and of the folds that are counted (all but 0) only each text's distinct words.  Of
+    fold 0, which calibrates, at most `CALIBRATION` documents take part, those of the least draws: a
+    hash of the id, so reruns choose the same ones.  The join is a merge join at every size.  A
+    document labelled both ways counts as labelled 1.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(trains) if trains is not None else known
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("cls"))
     fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(4)).cast("int").alias("fold")
-    chosen = known
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
+    last = known.where(fold == 0).select(draw.alias("draw")).orderBy("draw").limit(CALIBRATION).agg(F.max("draw")).first()[0]
+    chosen = known.where((fold > 0) | (draw <= F.lit(last)))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
     spark = docs.sparkSession
     bits = np.zeros(1 << ID_BITS, dtype=bool)
@@ -285,9 +291,9 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, label: str = "toxic", trains:
             x = features(shared.value, batch.column(1), known)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, i]) for i in range(FEATURES))], ["cls", *(f"x{i}" for i in range(FEATURES))])
 
-    # At most `CALIBRATION` feature rows, of four numbers each, are fitted on.
+    # At most `CALIBRATION` documents have fold 0 (repeated rows of them count); four numbers each.
     kept = rows.where("fold = 0").select(F.col("cls").cast("int"), "text").mapInArrow(held, "cls int, " + ", ".join(f"x{i} double" for i in range(FEATURES)))
-    sample = kept.limit(CALIBRATION).toPandas().to_numpy(dtype=np.float64)
+    sample = kept.toPandas().to_numpy(dtype=np.float64)
     y = sample[:, 0]
     if len(set(y)) == 2:
         weights = calibrate(sample[:, 1:], y)
@@ -296,9 +302,6 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, label: str = "toxic", trains:
     return Scorer(spark.sparkContext.broadcast((model, weights)))
 
 
-CALIBRATION = 20_000
-
-
 def score(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.  Rows of remainder `held` are never learned from."""
     scorer = fit_scorer(docs, labels, trains=id_remainder("doc_id", modulus) != held)
