@@ -156,7 +156,7 @@ sc AS (SELECT s.*, prof_key AS profile_key, r.fantasy_signal, r.multiple, r.chan
   CASE WHEN r.fantasy_signal IS NOT NULL THEN 0.65 + CASE WHEN o.opponent_matchup_signal IS NOT NULL THEN 0.25 ELSE 0 END + CASE WHEN k.park_contact_suppression_signal IS NOT NULL THEN 0.1 ELSE 0 END ELSE 0 END::DOUBLE AS coverage
   FROM slotw s CROSS JOIN (VALUES ('roto_balance'), ('strikeout_upside'), ('ratio_protection')) pk(prof_key) LEFT JOIN radar r ON r.pitcher_id = s.pitcher_id AND r.profile_key = prof_key AND r.window_days = 14
   LEFT JOIN oppr o USING (opponent_team) LEFT JOIN parkr k USING (venue_id)),
-st AS (SELECT *, CASE WHEN coverage > 0 THEN round((fantasy_signal * 0.65 + COALESCE(opponent_matchup_signal * 0.25, 0) + COALESCE(park_contact_suppression_signal * 0.1, 0)) / coverage, 1) END AS stream_score FROM sc)"""
+st AS (SELECT *, CASE WHEN coverage > 0 THEN floor((fantasy_signal * 0.65::DOUBLE + COALESCE(opponent_matchup_signal * 0.25::DOUBLE, 0) + COALESCE(park_contact_suppression_signal * 0.1::DOUBLE, 0)) / coverage * 10 + 0.5) / 10 END AS stream_score FROM sc)"""
 
 
 def _stream(t):
@@ -181,12 +181,14 @@ def _(t):
 
 @query("x9_personal_fit", f"""{_STREAM}, up AS (SELECT game_pk, pitcher_team, stream_score AS k FROM st WHERE profile_key = 'strikeout_upside'),
   f AS (SELECT st.game_pk, st.pitcher_team, stream_score, CASE WHEN stream_score IS NULL THEN 0 ELSE CASE weather_risk WHEN 'Elevated rain risk' THEN 8 WHEN 'Roof decision' THEN 4 WHEN 'Weather watch' THEN 3 ELSE 0 END
-    + CASE WHEN multiple >= 2 THEN 0 WHEN multiple >= 1.35 THEN 2 ELSE 4 END + CASE WHEN change <= -5 THEN 3 ELSE 0 END END AS pen, COALESCE(0.6 * stream_score + 0.4 * k, stream_score) AS basis
+    + CASE WHEN multiple >= 2 THEN 0 WHEN multiple >= 1.35 THEN 2 ELSE 4 END + CASE WHEN change <= -5 THEN 3 ELSE 0 END END AS pen, COALESCE(0.6::DOUBLE * stream_score + 0.4::DOUBLE * k, stream_score) AS basis
     FROM st LEFT JOIN up USING (game_pk, pitcher_team) WHERE profile_key = 'roto_balance')
-  SELECT game_pk, pitcher_team, round(CASE WHEN stream_score IS NOT NULL THEN greatest(0, least(100, basis - pen)) END, 1) AS fit_score, pen AS scenario_penalty, CASE WHEN stream_score IS NULL THEN 'Wait for evidence' WHEN greatest(0, least(100, basis - pen)) >= 80 THEN 'Priority shortlist' WHEN greatest(0, least(100, basis - pen)) >= 70 THEN 'Shortlist'
+  SELECT game_pk, pitcher_team, CASE WHEN stream_score IS NOT NULL THEN CAST(5 * floor((greatest(0, least(100, basis - pen)) + 0.03) / 5) AS INTEGER) END AS fit_from, pen AS scenario_penalty, CASE WHEN stream_score IS NULL THEN 'Wait for evidence' WHEN greatest(0, least(100, basis - pen)) >= 80 THEN 'Priority shortlist' WHEN greatest(0, least(100, basis - pen)) >= 70 THEN 'Shortlist'
   ELSE 'Below threshold' END AS strategy_action FROM f""")
 def _(t):
-    return matchup.personal_fit(_stream(t), "roto_balance", True, "Low risk").select("game_pk", "pitcher_team", F.col("personalized_fit_score").alias("fit_score"), "scenario_penalty", "strategy_action")
+    # In bands of five: stream scores have one digit, and two orders of adding doubles may round a tie apart.
+    band = (5 * F.floor((F.col("personalized_fit_score") + 0.03) / 5)).cast("int")
+    return matchup.personal_fit(_stream(t), "roto_balance", True, "Low risk").select("game_pk", "pitcher_team", band.alias("fit_from"), "scenario_penalty", "strategy_action")
 
 
 # ---- forecast ----------------------------------------------------------------------------

@@ -93,3 +93,45 @@ def test_group_small_refuses_repeated_and_other(spark):
     assert shape.group_small(blocked, "c", "n", 4).count() == 11
     kept = {r.c for r in shape.group_small(df, "c", "n", 4, ("a",)).collect()}
     assert kept == {"a", "j", "i", "Other"}
+
+
+def test_isolated_points_in_a_hot_and_a_null_key(spark):
+    from fieldglass.operators.shape import isolated_points
+
+    data = [(None if i % 10 == 0 else "hot" if i % 10 < 8 else f"k{i % 7}", i // 3, i, 1.0 if i * 7919 % 5 < 2 else None) for i in range(600)]
+    df = spark.createDataFrame(data, "k string, at int, id int, v double").repartition(5)
+    expected = set()
+    for key in {row[0] for row in data}:
+        line = sorted((r for r in data if r[0] == key), key=lambda r: (r[1], r[2]))
+        for before, here, after in zip([None, *line], line, [*line[1:], None]):
+            if here[3] is not None and all(n is None or n[3] is None for n in (before, after)):
+                expected.add(here[2])
+    assert {r["id"] for r in isolated_points(df, ["k"], ["at", "id"], "v").collect()} == expected
+
+
+def test_limits_place_values_in_order(spark):
+    from fieldglass.operators.ordered import with_order_bucket
+
+    df = spark.createDataFrame([(None if i % 50 == 0 else float(i * i % 997 if i % 3 else 5),) for i in range(3000)], "v double")
+    rows = with_order_bucket(df, F.col("v")).collect()
+    assert all((r["__bucket"] == -1) == (r["v"] is None) for r in rows)
+    placed = sorted((r["v"], r["__bucket"]) for r in rows if r["v"] is not None)
+    assert all(a[1] <= b[1] for a, b in zip(placed, placed[1:]))
+    # The value of a third of the rows has a bucket of its own.
+    assert {v for v, b in placed if b == dict(placed)[5.0]} == {5.0}
+
+
+def test_seeded_cap_is_exact_and_repeatable(spark):
+    from fieldglass.plans.modeling import seeded_cap
+
+    df = spark.range(20000).withColumn("at", F.col("id") % 100)
+    ids = lambda d, n: [r["id"] for r in seeded_cap(d, ["id"], n, 3, "at").collect()]
+    assert len(ids(df, 700)) == 700 and ids(df, 700) == ids(df.repartition(7), 700)
+    assert len(ids(df.limit(50), 700)) == 50 and not ids(df.limit(0), 5)
+
+
+def test_first_event_is_marked_once_with_null_keys(spark):
+    from fieldglass.plans.history import first_event_of_game
+
+    df = spark.createDataFrame([(None, 1, 5, 2), (None, 1, 5, 1), ("a", 1, 3, 9), ("a", 2, None, 4), ("a", 2, 1, 3)], "k string, g int, at int, id int")
+    assert {r["id"] for r in first_event_of_game(df, ["k"], "g", ["at", "id"]).filter("is_first").collect()} == {1, 9, 4}
