@@ -365,3 +365,12 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SMALL).toPandas()
     assert packed.groupby("sequence_id").length.sum().max() <= 1024
     assert len(packed) == steps["best_fit_packing"].count()
+
+
+def test_calibration_sample_is_bounded_and_repeatable(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION", 20)
+    docs = spark.createDataFrame([(i, f"word{i} text") for i in range(400)], "doc_id long, text string")
+    marks = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 AS int) AS toxic")
+    picked = [{r["text"] for r in toxicity.training_rows(d, marks).where("fold = 0").collect()} for d in (docs, docs.repartition(5))]
+    assert len(picked[0]) == 20 and picked[0] == picked[1]
+    assert toxicity.training_rows(docs, marks).where("fold > 0").count() > 250
