@@ -211,11 +211,16 @@ def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
 
     All columns are kept.  Of rows that repeat the kept doc_id and text one stays.
     """
+    first = _decided(store(fingerprints(docs, shingle)), budget).select("first.absent", "first.doc_id", "first.text_hash").distinct()
+    return only(docs, first)
+
+
+def only(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The documents named in `first` (absent, doc_id, text_hash); of rows that repeat id and text one stays."""
     names = docs.columns
-    first = _decided(store(fingerprints(docs, shingle)), budget).select("first.doc_id", "first.text_hash").distinct()
     # Never-null keys, so that dropping repeats can use the partitioning of the join.
     absent, present = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    keepers = first.select(present.alias("__id"), absent.alias("__absent"), F.col("text_hash").alias("__hash"))
+    keepers = first.select(present.alias("__id"), F.col("absent").alias("__absent"), F.col("text_hash").alias("__hash"))
     keys = ["__id", "__absent", "__hash"]
     marked = docs.withColumns({"__id": present, "__absent": absent, "__hash": F.xxhash64(F.col("text").cast("string"))})
     return marked.join(keepers, keys, "left_semi").dropDuplicates(keys).select(*[f"`{n}`" for n in names])

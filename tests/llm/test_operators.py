@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldglass.llm import divergence, html_lstm, interleave, mixing, multi_index, packing, quality_votes, secret_scan, simhash_trie, toxicity
+from fieldglass.llm import divergence, html_lstm, interleave, mixing, multi_index, packing, quality_votes, secret_scan, shingle_copies, simhash_trie, toxicity
 from fieldglass.llm.common import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -374,3 +374,43 @@ def test_calibration_sample_is_bounded_and_repeatable(spark, monkeypatch):
     picked = [{r["text"] for r in toxicity.training_rows(d, marks).where("fold = 0").collect()} for d in (docs, docs.repartition(5))]
     assert len(picked[0]) == 20 and picked[0] == picked[1]
     assert toxicity.training_rows(docs, marks).where("fold > 0").count() > 250
+
+
+def test_pipeline_drops_near_copies(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+
+    def edited(words, changes):
+        words = list(words)
+        for at in rng.choice(len(words), changes, replace=False):
+            words[at] = f"new{rng.integers(1 << 40)}"
+        return words
+
+    for size in (80, 150, 400):
+        for share in (0.003, 0.006, 0.01, 0.015, 0.02, 0.022, 0.03, 0.06):
+            for _ in range(4):
+                base = [f"w{i}" for i in rng.integers(0, 5_000, size)]
+                texts += [base, edited(base, max(1, round(share * size)))]
+    chain = [f"c{i}" for i in range(200)]
+    for _ in range(16):  # each near the one before, the ends far apart
+        texts.append(chain)
+        chain = edited(chain, 3)
+    hub = [f"h{i}" for i in range(200)]
+    texts += [edited(hub, 4) for _ in range(20)]  # copies of an absent text, mostly under 0.8 among themselves
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(900, ""), (901, " "), (902, None), (903, "a b"), (904, "A  b")]
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in rows)]
+    root = list(range(len(rows)))
+    near = []
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        share = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+        if share >= 0.8:
+            near.append(share)
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    assert sum(0.8 <= s < 0.85 for s in near) > 8 and sum(0.85 <= s < 0.95 for s in near) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs.repartition(3), SMALL).collect()}
+    assert kept == {rows[r][0] for r in set(root)}
+    # Few partners at a time give the same components.
+    own = shingle_copies._sketches(docs).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).checkpoint()
+    assert len(kept) == own.count() - shingle_copies.copy_components(docs, own, wide=1).count()
