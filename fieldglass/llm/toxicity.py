@@ -7,8 +7,11 @@ expression that neither class shows often gets nearly the same probability from
 rather than words, because offensive stems come with many endings.  A text's log-likelihood ratio is
 length-normalised and calibrated on training rows kept out of the counts.
 
-Counting is a distributed aggregation over all chosen rows.  The model that scores holds the sums in
-tables of fixed size, addressed by hash, which bounds what is broadcast at any corpus size.
+Counting is a distributed aggregation over all chosen rows.  The model that scores holds the sums by
+the full 64-bit hash of their gram, so no two grams share a count and a foreign gram reads as unseen.
+A gram that no class shows twice is wholly discounted, and a context of only such grams gives exactly
+its backoff; they are left out, so strings that occur once (ids, encodings) take no room.  What is
+broadcast grows with the grams seen repeatedly.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fieldglass.llm.common import id_remainder, store
 
-CELL_BITS, ID_BITS = 19, 22
+ID_BITS = 22
 LONG, SHORT = 4, 2  # characters of context
 ALPHABET = 64  # of the uniform distribution below everything
 _WORDS = re.compile(r"\w+")
@@ -45,10 +48,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
-def cells(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes * _MIX) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
 def grams(words: list[str]) -> dict[str, np.ndarray]:
     """Hashes at every character (and the end) of words: long and short contexts, with and without it.
 
@@ -71,45 +70,51 @@ def grams(words: list[str]) -> dict[str, np.ndarray]:
     return {"word": word, "long": hashed(LONG, True), "long_context": hashed(LONG, False), "short": hashed(SHORT, True), "short_context": hashed(SHORT, False)}
 
 
-def discount(count: np.ndarray) -> np.ndarray:
-    count = np.asarray(count, dtype=np.float32)
-    return np.where(count >= 3, DISCOUNTS[2], np.where(count >= 2, DISCOUNTS[1], np.where(count >= 1, DISCOUNTS[0], 0.0))).astype(np.float32)
+@dataclass
+class Table:
+    """Values by 64-bit key; absent keys have zeros."""
+
+    keys: np.ndarray  # (n,) sorted
+    values: np.ndarray  # (columns, n)
+
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        """(columns, len(keys)) values."""
+        if not len(self.keys):
+            return np.zeros((len(self.values), len(keys)))
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.values[:, place] * (self.keys[place] == keys)
 
 
 @dataclass
 class Level:
-    """Counts by class of one context length in hashed cells; class 1 is the toxic one."""
+    """Counts by class of one context length; class 1 is the toxic one."""
 
-    gram: np.ndarray  # (2, cells) counts of context and character
-    seen: np.ndarray  # (2, cells) counts of the context
-    spare: np.ndarray  # (2, cells) what the context's characters were discounted by
+    kept: Table  # by context and character: discounted counts of classes 0 and 1
+    context: Table  # counts of both classes, then what their characters were discounted by
 
-    def probability(self, cls, gram, context, lower):
-        seen, count = self.seen[cls][context], self.gram[cls][gram]
-        kept = np.minimum(np.maximum(count - discount(count), 0), seen)
-        mixed = (kept + np.minimum(self.spare[cls][context], seen) * lower) / np.maximum(seen, 1)
-        return np.where(seen > 0, np.maximum(mixed, 1e-3 * lower), lower)
+    def probabilities(self, gram, context, lower):
+        """(2, positions), given those of the level below."""
+        kept, found = self.kept.at(gram), self.context.at(context)
+        seen, spare = found[:2], found[2:]
+        return np.where(seen > 0, (kept + spare * lower) / np.maximum(seen, 1), lower)
 
 
 @dataclass
 class Model:
     long: Level
     short: Level
-    goes_on: np.ndarray  # (cells,) distinct long contexts in which a short one goes on with a character
-    goes_on_total: np.ndarray  # (cells,) the same by short context
+    goes_on: Table  # distinct long contexts in which a short one goes on with a character
+    goes_on_total: Table  # the same by short context
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
         if not words:
             return np.zeros(0)
-        found = grams(words)
-        at = {name: cells(values) for name, values in found.items() if name != "word"}
-        shared = (self.goes_on[at["short"]] + 0.5) / (self.goes_on_total[at["short_context"]] + 0.5 * ALPHABET)
-        logs = []
-        for cls in (0, 1):
-            low = self.short.probability(cls, at["short"], at["short_context"], shared)
-            logs.append(np.log(self.long.probability(cls, at["long"], at["long_context"], low)))
-        return np.bincount(found["word"], weights=logs[1] - logs[0], minlength=len(words))
+        at = grams(words)
+        shared = (self.goes_on.at(at["short"])[0] + 0.5) / (self.goes_on_total.at(at["short_context"])[0] + 0.5 * ALPHABET)
+        low = self.short.probabilities(at["short"], at["short_context"], shared)
+        logs = np.log(self.long.probabilities(at["long"], at["long_context"], low))
+        return np.bincount(at["word"], weights=logs[1] - logs[0], minlength=len(words))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", trains: Column | None = None, seed: int = 11) -> DataFrame:
@@ -159,11 +164,11 @@ def _count_words(batches):
         yield pa.RecordBatch.from_arrays(columns, ["word", "c0", "c1"])
 
 
-_GRAM_COLUMNS = ["gram", "gram_cell", "context_cell", "short_cell", "short_context_cell", "c0", "c1"]
+_GRAM_COLUMNS = ["gram", "context", "short", "short_context", "c0", "c1"]
 
 
 def _count_grams(batches):
-    """Long grams of words, weighted by the texts that hold them, with the cells that they belong to."""
+    """Long grams of words, weighted by the texts that hold them, with their contexts and short grams."""
     for batch in batches:
         words = batch.column(0).to_pylist()
         counts = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()])
@@ -172,7 +177,7 @@ def _count_grams(batches):
             found = grams(part)
             keys, first, inverse = np.unique(found["long"], return_index=True, return_inverse=True)
             weight = [np.bincount(inverse, weights=counts[k, start + found["word"]], minlength=len(keys)).astype(np.int64) for k in (0, 1)]
-            columns = [keys.view(np.int64), *(cells(found[n][first]) for n in ("long", "long_context", "short", "short_context")), *weight]
+            columns = [keys.view(np.int64), *(found[n][first].view(np.int64) for n in ("long_context", "short", "short_context")), *weight]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _GRAM_COLUMNS)
 
 
@@ -181,28 +186,28 @@ def fit(rows: DataFrame) -> Model:
     counted = rows.select(F.col("cls").cast("int"), "text").mapInArrow(_count_words, "word string, c0 long, c1 long")
     words = counted.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     long = words.mapInArrow(_count_grams, ", ".join(f"{n} long" for n in _GRAM_COLUMNS))
-    long = store(long.groupBy(*_GRAM_COLUMNS[:5]).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
-    short = store(long.groupBy("short_cell", "short_context_cell").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count(F.lit(1)).alias("n")))
+    long = store(long.groupBy(*_GRAM_COLUMNS[:4]).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+    short = store(long.groupBy("short", "short_context").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count(F.lit(1)).alias("n")))
 
     def cut(name):
         c = F.col(name)
         return F.when(c >= 3, DISCOUNTS[2]).when(c >= 2, DISCOUNTS[1]).when(c >= 1, DISCOUNTS[0]).otherwise(0.0)
 
-    def collected(frame, cell, *values):
-        """Sums by cell: at most one row per cell, so what reaches the driver is bounded."""
-        got = frame.groupBy(cell).agg(*[F.sum(v).cast("double") for v in values]).toPandas().to_numpy(dtype=np.float64)
-        out = np.zeros((len(values), 1 << CELL_BITS), dtype=np.float32)
-        out[:, got[:, 0].astype(np.int64)] = got[:, 1:].T
-        return out
+    def collected(frame, key, *values):
+        """Sums of values by key."""
+        got = frame.groupBy(F.col(key).alias("key")).agg(*[F.sum(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)]).toPandas()
+        keys = got["key"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return Table(keys[order], got.drop(columns="key").to_numpy(dtype=np.float64)[order].T.copy())
 
     def level(frame, gram, context):
-        sums = collected(frame, context, "c0", "c1", cut("c0"), cut("c1"))
-        return Level(collected(frame, gram, "c0", "c1"), sums[:2], sums[2:])
+        """Without grams that both classes discount wholly, and contexts that hold no others: both give the backoff."""
+        twice = F.greatest("c0", "c1") >= 2
+        useful = frame.where(twice).select(context).distinct()
+        kept = collected(frame.where(twice), gram, F.col("c0") - cut("c0"), F.col("c1") - cut("c1"))
+        return Level(kept, collected(frame.join(useful, context, "left_semi"), context, "c0", "c1", cut("c0"), cut("c1")))
 
-    return Model(
-        level(long, "gram_cell", "context_cell"), level(short, "short_cell", "short_context_cell"),
-        collected(short, "short_cell", "n")[0], collected(short, "short_context_cell", "n")[0],
-    )
+    return Model(level(long, "gram", "context"), level(short, "short", "short_context"), collected(short, "short", "n"), collected(short, "short_context", "n"))
 
 
 class WordScores(dict):

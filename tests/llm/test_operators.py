@@ -414,3 +414,48 @@ def test_pipeline_drops_near_copies(spark):
     # Few partners at a time give the same components.
     own = shingle_copies._sketches(docs).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).checkpoint()
     assert len(kept) == own.count() - shingle_copies.copy_components(docs, own, wide=1).count()
+
+
+def test_toxicity_counts_belong_to_their_gram(spark):
+    rng = np.random.default_rng(3)
+    letters = [list(map(chr, range(97, 123))), list(map(chr, range(0x4E00, 0x4E00 + 400)))]
+    vocabulary = sorted({"".join(rng.choice(letters[i % 2], rng.integers(3, 9))) for i in range(60_000)})
+    texts = [(int(cls), " ".join(rng.choice(vocabulary, 60))) for cls in rng.integers(0, 2, 2_500)]
+    model = toxicity.fit(spark.createDataFrame(texts, "cls int, text string"))
+    counts, goes, within = collections.Counter(), collections.defaultdict(set), collections.defaultdict(set)
+    for cls, text in texts:
+        for word in set(text.split()):
+            padded = "\x02" * toxicity.LONG + word + "\x03"
+            for at in range(toxicity.LONG, len(padded)):
+                counts[cls, padded[at - toxicity.LONG:at + 1]] += 1
+                goes[padded[at - 2:at + 1]].add(padded[at - toxicity.LONG:at])
+                within[padded[at - 2:at]].add((padded[at - toxicity.LONG:at + 1]))
+    levels = [collections.Counter(), collections.Counter()]  # short, long
+    for (cls, gram), n in counts.items():
+        levels[1][cls, gram] += n
+        levels[0][cls, gram[-3:]] += n
+    sums = collections.defaultdict(lambda: [0, 0.0])
+    cut = lambda n: toxicity.DISCOUNTS[min(n, 3) - 1] if n else 0.0
+    for level in levels:
+        for (cls, gram), n in level.items():
+            sums[cls, gram[:-1]][0] += n
+            sums[cls, gram[:-1]][1] += cut(n)
+
+    def ratio(word):
+        total, padded = 0.0, "\x02" * toxicity.LONG + word + "\x03"
+        for at in range(toxicity.LONG, len(padded)):
+            logs = []
+            for cls in (0, 1):
+                p = (len(goes.get(padded[at - 2:at + 1], ())) + 0.5) / (len(within.get(padded[at - 2:at], ())) + 0.5 * toxicity.ALPHABET)
+                for level, size in zip(levels, (toxicity.SHORT, toxicity.LONG)):
+                    gram = padded[at - size:at + 1]
+                    seen, spare = sums.get((cls, gram[:-1]), (0, 0.0))
+                    n = level[cls, gram]
+                    p = (n - cut(n) + spare * p) / seen if seen else p
+                logs.append(np.log(p))
+            total += logs[1] - logs[0]
+        return total
+
+    probe = vocabulary[::50] + ["never", "met", "zzzzqx"]
+    assert len({g for _, g in counts}) > 200_000
+    assert np.allclose(model.ratios(probe), [ratio(w) for w in probe], atol=1e-6)
