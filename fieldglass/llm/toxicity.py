@@ -122,8 +122,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", trai
 
     A bit set of fixed size drops nearly all other documents before the join, so only labelled texts
     are shuffled, and of the folds that are counted (all but 0) only each text's distinct words.  Of
-    fold 0, which calibrates, at most `CALIBRATION` documents take part, those of the least draws: a
-    hash of the id, so reruns choose the same ones.  The join is a merge join at every size.  A
+    fold 0, which calibrates, at most `CALIBRATION` documents stay, those of the least draws: a hash of
+    the id, so reruns choose the same ones.  The others of it are counted as fold 1.  The join is a merge join at every size.  A
     document labelled both ways counts as labelled 1.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -132,11 +132,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", trai
     fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(4)).cast("int").alias("fold")
     draw = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
     last = known.where(fold == 0).select(draw.alias("draw")).orderBy("draw").limit(CALIBRATION).agg(F.max("draw")).first()[0]
-    chosen = known.where((fold > 0) | (draw <= F.lit(last)))
+    spread = F.when((fold == 0) & (draw > F.lit(last)), 1).otherwise(fold)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
     spark = docs.sparkSession
     bits = np.zeros(1 << ID_BITS, dtype=bool)
-    bits[chosen.select(place.cast("int").alias("place")).distinct().toPandas()["place"].to_numpy(dtype=np.int64)] = True
+    bits[known.select(place.cast("int").alias("place")).distinct().toPandas()["place"].to_numpy(dtype=np.int64)] = True
     shared = spark.sparkContext.broadcast(np.packbits(bits))
 
     def sift(batches):
@@ -148,9 +148,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", trai
             texts = [t if fold == 0 else " ".join(sorted(set(words_of(t)))) for fold, t in zip(near.column(2).to_pylist(), near.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([near.column(1), near.column(2), pa.array(texts, pa.string())], ["doc_id", "fold", "text"])
 
-    rows = docs.select(place.cast("int").alias("place"), F.col("doc_id").cast("long"), fold, F.col("text").cast("string"))
+    rows = docs.select(place.cast("int").alias("place"), F.col("doc_id").cast("long"), spread.alias("fold"), F.col("text").cast("string"))
     near = rows.where(F.col("doc_id").isNotNull()).mapInArrow(sift, "doc_id long, fold int, text string")
-    return store(near.join(chosen.hint("merge"), "doc_id").select("cls", "fold", "text"))
+    return store(near.join(known.hint("merge"), "doc_id").select("cls", "fold", "text"))
 
 
 def _count_words(batches):

@@ -459,3 +459,11 @@ def test_toxicity_counts_belong_to_their_gram(spark):
     probe = vocabulary[::50] + ["never", "met", "zzzzqx"]
     assert len({g for _, g in counts}) > 200_000
     assert np.allclose(model.ratios(probe), [ratio(w) for w in probe], atol=1e-6)
+
+
+def test_documents_beyond_the_calibration_sample_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION", 20)
+    docs = spark.createDataFrame([(i, f"word{i} text") for i in range(400)], "doc_id long, text string")
+    marks = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 AS int) AS toxic")
+    rows = toxicity.training_rows(docs, marks)
+    assert rows.where("fold = 0").count() == 20 and rows.where("fold > 0").count() == 380
