@@ -1,8 +1,10 @@
 """Secret scans: patterns, then structural confirmation of encoded candidates.
 
-Base kinds are plain patterns.  Encoded candidates (base64, base64url or hex runs) are decoded and
-their structure parsed before they are reported: DER keys by nested lengths, key files by their
-armour and body, signed tokens by their JSON headers.
+Base kinds are plain patterns.  Encoded candidates (base64, base64url or hex) are decoded and their
+structure parsed before they are reported: DER keys by nested lengths, key files by their armour and
+body, signed tokens by their JSON headers.  Keys are looked for wherever their first bytes occur, also
+inside a run, and are read on over line breaks (real or escaped) and indentation; the length that
+they state tells where they end.
 """
 
 from __future__ import annotations
@@ -24,10 +26,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # Only texts with one of these can hold an assignment.
 _HINT = re.compile(r"[:=]")
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-HEX_ANY = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+# What may part the lines of one encoded value.
+_BREAK = r"(?:[ \t]*(?:\r?\n|\\+r\\+n|\\+n)[ \t]*)+"
+_LINES64, _LINES16 = (re.compile(rf"({c}+)(?:{_BREAK}(?={c}))?") for c in ("[A-Za-z0-9+/_-]", "[0-9a-fA-F]"))
+# First characters of a DER sequence, or of the magic of OpenSSH key files.
+_START64 = re.compile(r"M(?=[A-H]|I[E-T])|b3BlbnNzaC1rZXktdjEA")
+_START16 = re.compile(r"30(?=(?:[0-7].|81..|82.{4}|83.{6}|84.{8})0201)|6f70656e7373682d6b65792d763100", re.IGNORECASE)
+_OPENSSH = b"openssh-key-v1\x00"
+_LEAST64, _LEAST16 = 32, 64  # characters
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
+ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
+_ESCAPED = re.compile(r"\\+r\\+n|\\+n|\r\n?")
+_HEADERS = re.compile(rf"(?:{_BREAK}[A-Za-z-]+: [^\r\n\\]*)*(?:{_BREAK}|[ \t]*)")
 KINDS = ["assign", "access", "hex", "der", "token", "armour"]
 
 
@@ -60,7 +70,7 @@ def _element(data: bytes, at: int) -> tuple[int, int, int] | None:
 
 def is_key_encoding(data: bytes) -> bool:
     """A DER sequence that fills the data, begins with a version and holds whole elements; or a key file magic."""
-    if data.startswith(b"openssh-key-v1\x00"):
+    if data.startswith(_OPENSSH):
         return True
     outer = _element(data, 0)
     if outer is None or outer[0] != 0x30 or outer[2] != len(data):
@@ -81,6 +91,101 @@ def is_key_encoding(data: bytes) -> bool:
     return wrapped or numbers or curve
 
 
+def _stated_size(data: bytes) -> int | None:
+    """Bytes of the key that begins `data` by its own lengths; None if they cannot be read."""
+    if data.startswith(_OPENSSH):
+        at = len(_OPENSSH)
+        for field in range(3):  # cipher, key derivation and its options
+            at += 4 + int.from_bytes(data[at:at + 4], "big")
+        keys = int.from_bytes(data[at:at + 4], "big")
+        at += 4
+        for field in range(min(keys, 64) + 1):  # public keys, then the private part
+            if at + 4 > len(data):
+                return None
+            at += 4 + int.from_bytes(data[at:at + 4], "big")
+        return at
+    if len(data) < 2 or data[0] != 0x30:
+        return None
+    width = data[1] & 0x7F if data[1] & 0x80 else 0
+    if width > 4 or (data[1] & 0x80 and not width) or len(data) < 2 + width:
+        return None
+    return 2 + width + (int.from_bytes(data[2:2 + width], "big") if width else data[1])
+
+
+def _taken(lines: re.Pattern, text: str, start: int, limit: int | None = None) -> tuple[str, int]:
+    """Up to `limit` characters of the value from `start` on, breaks left out, and where they end in the text."""
+    parts, have, at, end = [], 0, start, start
+    while (limit is None or have < limit) and (m := lines.match(text, at)):
+        part = m[1] if limit is None else m[1][:limit - have]
+        parts.append(part)
+        have, at, end = have + len(part), m.end(), m.start() + len(part)
+    return "".join(parts), end
+
+
+def _bytes_of(chars: str, base: int) -> bytes:
+    if base == 16:
+        return bytes.fromhex(chars[:len(chars) // 2 * 2])
+    return _decoded(chars if len(chars) % 4 != 1 else chars[:-1]) or b""
+
+
+def _keys(text: str, starts: re.Pattern, lines: re.Pattern, base: int) -> list[tuple[int, int]]:
+    """(start, end) of whole private keys in base 64 or 16."""
+    found, past = [], 0
+    for m in starts.finditer(text):
+        if m.start() < past:
+            continue
+        magic = len(m[0]) > 2
+        head, _ = _taken(lines, text, m.start(), None if magic else 24)
+        data = _bytes_of(head, base)
+        if not magic and (b"\x02\x01" not in data[2:8]):
+            continue
+        size = _stated_size(data)
+        if magic and (size is None or size > len(data)):  # cut short: still part of a key
+            chars, end = lines.match(text, m.start())[1], lines.match(text, m.start()).end(1)
+        elif size is None:
+            continue
+        else:
+            need = 2 * size if base == 16 else -(-4 * size // 3)
+            chars, end = _taken(lines, text, m.start(), need)
+            if len(chars) < need:
+                continue
+        if len(chars) < (_LEAST16 if base == 16 else _LEAST64) - 2 or not is_key_encoding(_bytes_of(chars, base)):
+            continue
+        if base == 64:
+            end += len(text[end:end + 2]) - len(text[end:end + 2].lstrip("="))
+        found.append((m.start(), end))
+        past = end
+    return found
+
+
+def _armoured(text: str) -> list[tuple[int, int]]:
+    """(start, end) of key files by their armour; without an END line, up to the end of the body."""
+    found = []
+    marks = list(ARMOUR.finditer(text))
+    for i, m in enumerate(marks):
+        until = marks[i + 1].start() if i + 1 < len(marks) else len(text)
+        close = f"-----END {m[1]}-----"
+        at = text.find(close, m.end(), until)
+        if at >= 0:
+            plain = _ESCAPED.sub("\n", text[m.end():at])
+            end = at + len(close)
+            body = "".join(line for line in plain.split("\n") if ":" not in line).replace(" ", "").replace("\t", "")
+        else:
+            start = _HEADERS.match(text, m.end()).end()
+            plain = text[m.end():start]
+            body, end = _taken(_LINES64, text, start)
+            head = _bytes_of(body[:4096], 64)
+            size = _stated_size(head)
+            if size is not None and -(-4 * size // 3) <= len(body):
+                body, end = _taken(_LINES64, text, start, -(-4 * size // 3))
+            end += len(text[end:end + 2]) - len(text[end:end + 2].lstrip("="))
+        data = _decoded(body)
+        # An encrypted body has no structure to hold it against, except that it decodes.
+        if data and ("ENCRYPTED" in m[1] or "ENCRYPTED" in plain or is_key_encoding(data)):
+            found.append((m.start(), end))
+    return found
+
+
 def is_signed_token(run: str) -> bool:
     """Three base64url parts whose first is a JSON object naming an algorithm, the second a JSON object."""
     parts = run.split(".")
@@ -104,20 +209,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind index, start, end) of encoded candidates whose structure holds."""
     found = []
-    for m in ENCODED.finditer(text):
-        data = _decoded(m[0])
-        if data is not None and is_key_encoding(data):
-            found.append((3, m.start(), m.end()))
-    for m in HEX_ANY.finditer(text):
-        if is_key_encoding(bytes.fromhex(m[0])):
-            found.append((3, m.start(), m.end()))
+    found += [(3, *span) for span in _keys(text, _START64, _LINES64, 64) + _keys(text, _START16, _LINES16, 16)]
     if "eyJ" in text:
         found += [(4, m.start(), m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN " in text:
-        for m in ARMOUR.finditer(text):
-            data = _decoded("".join(line for line in m[2].split("\n") if ":" not in line).replace(" ", "").replace("\r", ""))
-            if data:
-                found.append((5, m.start(), m.end()))
+        found += [(5, *span) for span in _armoured(text)]
     return found
 
 

@@ -467,3 +467,39 @@ def test_documents_beyond_the_calibration_sample_are_counted(spark, monkeypatch)
     marks = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 AS int) AS toxic")
     rows = toxicity.training_rows(docs, marks)
     assert rows.where("fold = 0").count() == 20 and rows.where("fold > 0").count() == 380
+
+
+def test_secret_keys_in_every_form():
+    def element(tag, body):
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else b"\x81" + bytes([n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")) + body
+
+    rng = np.random.default_rng(1)
+    rsa = element(0x30, element(2, b"\0") + b"".join(element(2, b"\x01" + rng.bytes(128)) for _ in range(8)))
+    small = element(0x30, element(2, b"\0") + element(0x30, element(6, b"\x2b\x65\x70")) + element(4, element(4, rng.bytes(32))))
+    text = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + text(b"none") * 2 + text(b"") + (1).to_bytes(4, "big") + text(rng.bytes(51)) + text(rng.bytes(200))
+
+    def wrapped(body, width, gap):
+        return gap.join(body[i:i + width] for i in range(0, len(body), width))
+
+    forms = []
+    for data in (rsa, small, ssh):
+        body, digits = base64.b64encode(data).decode(), data.hex()
+        forms += [body, digits, digits.upper(), "dir/" + body, "key=" + base64.urlsafe_b64encode(data).decode().rstrip("=")]
+        for width, gap in itertools.product((64, 76), ("\n", "\r\n", "\\n", "\n    ", "\\\\n")):
+            forms += [wrapped(body, width, gap), wrapped(digits, width, gap)]
+        for gap in ("\n", "\\n"):
+            begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+            forms += [gap.join([begin, wrapped(body, 64, gap), end, ""]), gap.join([begin, wrapped(body, 64, gap), "", "next line"])]
+    for form in forms:
+        for around in ("{}", "see\n{}\nand more words", '{{"private_key": "{}"}}'):
+            clean = secret_scan.redact_text(around.format(form))
+            bare = re.sub(r"[\\s\\\\]|\\\\n", "", clean)
+            assert "[SECRET]" in clean and len(bare) < 120, (form[:60], clean[:200])
+            assert "and more words" in clean or "and more" not in around
+    locked = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + wrapped(base64.b64encode(rng.bytes(300)).decode(), 64, "\n")
+    for form in (locked, locked + "\n-----END RSA PRIVATE KEY-----"):
+        assert secret_scan.redact_text(form) == "[SECRET]"
+    false = "-----BEGIN PRIVATE KEY-----\n" + base64.b64encode(b"only an example of a text in armour").decode() + "\n-----END PRIVATE KEY-----"
+    assert secret_scan.confirmed_spans(false) == [] and secret_scan.confirmed_spans(base64.b64encode(rsa[:-9]).decode()) == []
