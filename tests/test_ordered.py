@@ -135,3 +135,10 @@ def test_first_event_is_marked_once_with_null_keys(spark):
 
     df = spark.createDataFrame([(None, 1, 5, 2), (None, 1, 5, 1), ("a", 1, 3, 9), ("a", 2, None, 4), ("a", 2, 1, 3)], "k string, g int, at int, id int")
     assert {r["id"] for r in first_event_of_game(df, ["k"], "g", ["at", "id"]).filter("is_first").collect()} == {1, 9, 4}
+
+
+def test_seeded_cap_is_full_when_a_key_repeats(spark):
+    from fieldglass.plans.modeling import seeded_cap
+
+    df = spark.range(4_000).selectExpr("if(id % 2 = 0, 0L, id) AS id", "id AS at")
+    assert all(seeded_cap(df, ["id"], 500, seed, "at").count() == 500 for seed in range(8))
