@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldglass.llm import divergence, html_lstm, interleave, mixing, multi_index, packing, quality_votes, secret_scan, simhash_trie, toxicity
+from fieldglass.llm import (
+    divergence, html_lstm, interleave, mixing, multi_index, packing, prefix_trie, quality_votes, secret_scan, simhash_trie, spot_signatures, toxicity,
+    whitening,
+)
 from fieldglass.llm.common import reach_workers, table
 from fieldglass.llm.packing import tokenizer_path
 
@@ -53,10 +57,24 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_prefix_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+def op12_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    return spot_signatures.fingerprint(table(spark, folder, "documents"))
+
+
+def op13_qdwh_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    # Beyond some hundred million vectors of the given spread a deviation may exceed a long; it is null then.
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_quality_votes, op2_mixing, op3_multi_index, op4_simhash_trie, op5_interleaved_shards, op6_grouping_packing, op7_secret_scan,
-        op8_html_lstm, op9_divergence, op10_toxicity,
+        op8_html_lstm, op9_divergence, op10_toxicity, op11_prefix_bitmaps, op12_spot_signatures, op13_qdwh_whitening,
     ]
     return {name: _reaching(f) for name, f in ({f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}).items()}
 
@@ -70,4 +88,4 @@ def _reaching(function):
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_prefix_bitmaps": prefix_trie.ORACLE_SQL, "op12_spot_signatures": spot_signatures.oracle_sql()}
