@@ -111,17 +111,17 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     and are kept; a single row is its own next; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), signatures(F.col("text")).alias("spots"))
-    rows = with_next(rows, ["text", "spots"])
+    # Only texts travel: signatures are digests, which do not compress, and are cheap to make again.
+    rows = with_next(rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), ["text"])
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("next.text"), F.lit(1), cut))
     rows = rows.withColumn("edited", edited)
-    rows = rows.withColumn("edited_spots", signatures(F.col("edited")))
+    rows = rows.withColumns({"spots": signatures(F.col("text")), "edited_spots": signatures(F.col("edited")), "next_spots": signatures(F.col("next.text"))})
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.array_join("spots", "").alias("fingerprint"),
         F.array_join("edited_spots", "").alias("edited_fingerprint"), likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
-        likeness(F.col("spots"), F.col("next.spots")).alias("near_next"), F.size("spots").cast("long").alias("n_signatures"),
+        likeness(F.col("spots"), F.col("next_spots")).alias("near_next"), F.size("spots").cast("long").alias("n_signatures"),
     )
 
 
