@@ -130,7 +130,7 @@ def _rarest(sets: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
     spots = sets.select("id", F.explode("spots").alias("spot")).join(counts, "spot", "left")
     ordered = spots.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "spot"))).alias("o"))
     keep = F.size("o") - F.ceil(F.size("o") * F.lit(threshold) - 1e-9).cast("int") + 1
-    band = F.floor(F.log(F.size("o").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
+    band = F.floor(F.log(F.size("o").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("long")
     return ordered.select("id", band.alias("band"), F.explode(F.slice("o", F.lit(1), keep)).alias("o")).select("id", "band", F.col("o.spot").alias("spot"))
 
 
