@@ -411,9 +411,51 @@ def test_pipeline_drops_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs.repartition(3), SMALL).collect()}
     assert kept == {rows[r][0] for r in set(root)}
-    # Few partners at a time give the same components.
-    own = shingle_copies._sketches(docs).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).checkpoint()
-    assert len(kept) == own.count() - shingle_copies.copy_components(docs, own, wide=1).count()
+    # Clusters dealt as pairs of blocks give the same components.
+    assert {r.doc_id for r in shingle_copies.keep_one(docs, block_texts=8).select("doc_id").collect()} == kept
+    assert shingle_copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_forest_has_a_row_per_text_at_most():
+    rng = np.random.default_rng(7)
+    hub = [f"h{i}" for i in range(200)]
+    texts = []
+    for _ in range(400):  # copies of an absent text: about 0.63 among themselves, few pairs at 0.8
+        words = list(hub)
+        for at in rng.choice(len(words), 9, replace=False):
+            words[at] = f"new{rng.integers(1 << 40)}"
+        texts.append(" ".join(words).encode())
+    near = list(hub)
+    for k in range(60):  # a chain of near copies beside them
+        near[int(rng.integers(0, 200))] = f"step{k}"
+        texts.append(" ".join(near).encode())
+    sets = [shingle_copies.shingles(t) for t in texts]
+    shares = [shingle_copies.similarity(a, b) for a, b in itertools.combinations(sets[:100], 2)]
+    assert np.mean([s < 0.8 for s in shares]) > 0.9
+
+    def components_of(edges):
+        root = list(range(len(sets)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return [find(x) for x in range(len(sets))]
+
+    full = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    edges = shingle_copies.forest(sets, list(range(len(sets))))
+    assert len(edges) < len(sets) and set(map(tuple, map(sorted, edges))) <= set(full)
+    assert components_of(edges) == components_of(full)
+    # Known roots are not linked again, and pairs inside a block are left to the block's own task.
+    assert shingle_copies.forest(sets, components_of(full)) == []
+    blocks = [i % 2 for i in range(len(sets))]
+    across = shingle_copies.forest(sets, list(range(len(sets))), blocks)
+    inside = [e for k in (0, 1) for e in shingle_copies.forest([s if b == k else s[:0] for s, b in zip(sets, blocks)], list(range(len(sets)))) if len(sets[e[0]]) and blocks[e[0]] == blocks[e[1]] == k]
+    assert components_of(across + inside) == components_of(full)
 
 
 def test_toxicity_counts_belong_to_their_gram(spark):
