@@ -8,8 +8,9 @@ from fieldglass.catalog.queries_marts import rounded
 from fieldglass.catalog.registry import query
 from fieldglass.catalog.tables import BIND
 from fieldglass.functions import flags as fl
-from fieldglass.plans import forecast, modeling
+from fieldglass.plans import boosting, forecast, modeling
 from fieldglass.plans.modeling import Boundaries
+from fieldglass.session import literal_table
 
 BOUNDS = Boundaries("2024-01-12", "2024-01-13", "2024-01-22", "2024-01-30")
 MODELS = ["constant", "line", "steep"]
@@ -141,17 +142,39 @@ def _(t):
     return rounded(modeling.latest_predictions(_whiffs(t), "pitch_type").select("pitch_id", "pitch_type", "predicted_probability"), "predicted_probability")
 
 
-@query("m11_calibration_gate", f"""{_SCORED}, v AS (SELECT *, ROW_NUMBER() OVER (ORDER BY game_date, event_id) AS i, greatest(1, least(COUNT(*) OVER () - 1, floor(COUNT(*) OVER () * 0.7::DOUBLE))) AS cut FROM s WHERE model = 'steep' AND split = 'validation'),
-  tail AS (SELECT *, (SELECT COUNT(*) FROM range(1, 10) e WHERE p > e.range * 0.1::DOUBLE) AS bin FROM v WHERE i > cut), b AS (SELECT bin, COUNT(*) AS n, AVG(y) AS o, AVG(p) AS q FROM tail GROUP BY 1)
-  SELECT CAST(MAX(cut) AS BIGINT) AS fit_rows, COUNT(*) AS check_rows, round(AVG(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS raw_log_loss, (SELECT round(SUM(n * abs(o - q)) / SUM(n), 6) FROM b) AS raw_ece,
-  COUNT(*) > 0 AS agrees, COUNT(*) > 0 AS fit_improves FROM tail""")
+def _platt_sql(rows: str, name: str, steps: int = 12) -> str:
+    """CTEs {name}0, {name}1, ...: Newton steps of slope a (penalised) and intercept b over rows (y, z)."""
+    out = [f"{name}0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for k in range(steps):
+        out.append(f"""{name}{k + 1} AS (SELECT a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM (
+    SELECT a, b, SUM((q - y) * z) + a AS ga, SUM(q - y) AS gb, SUM(q * (1 - q) * z * z) + 1 AS haa, SUM(q * (1 - q) * z) AS hab, SUM(q * (1 - q)) AS hbb
+    FROM (SELECT a, b, y, z, 1 / (1 + exp(-(a * z + b))) AS q FROM {rows}, {name}{k}) GROUP BY a, b))""")
+    return ",\n  ".join(out) + f",\n  {name} AS (SELECT a, b FROM {name}{steps})"
+
+
+def _gate_sql(models: list[str]) -> str:
+    ctes, parts = [], []
+    for m in models:
+        ctes.append(f"""v_{m} AS (SELECT y, p, ln(p / (1 - p)) AS z, ROW_NUMBER() OVER (ORDER BY game_date, event_id) AS i, greatest(1, least(COUNT(*) OVER () - 1, floor(COUNT(*) OVER () * 0.7::DOUBLE))) AS cut FROM s WHERE model = '{m}' AND split = 'validation'),
+  head_{m} AS (SELECT y, z FROM v_{m} WHERE i <= cut), {_platt_sql(f'head_{m}', f'part_{m}_')}, {_platt_sql(f'v_{m}', f'all_{m}_')},
+  two_{m} AS (SELECT 'raw' AS kind, y, p FROM v_{m} WHERE i > cut UNION ALL SELECT 'calibrated', y, greatest(1e-6, least(1 - 1e-6, 1 / (1 + exp(-(a * z + b))))) FROM v_{m}, part_{m}_ WHERE i > cut),
+  bin_{m} AS (SELECT kind, (SELECT COUNT(*) FROM range(1, 10) e WHERE p > e.range * 0.1::DOUBLE) AS bin, COUNT(*) AS n, AVG(y) AS o, AVG(p) AS q FROM two_{m} GROUP BY 1, 2),
+  met_{m} AS (SELECT kind, AVG(-(y * ln(p) + (1 - y) * ln(1 - p))) AS ll, (SELECT SUM(n * abs(o - q)) / SUM(n) FROM bin_{m} b WHERE b.kind = t.kind) AS ece FROM two_{m} t GROUP BY kind),
+  wide_{m} AS (SELECT MAX(ll) FILTER (kind = 'raw') AS raw_ll, MAX(ece) FILTER (kind = 'raw') AS raw_e, MAX(ll) FILTER (kind <> 'raw') AS new_ll, MAX(ece) FILTER (kind <> 'raw') AS new_e FROM met_{m})""")
+        ok = "new_ll < raw_ll AND new_e < raw_e"
+        parts.append(f"""SELECT '{m}' AS model, (SELECT CAST(MAX(cut) AS BIGINT) FROM v_{m}) AS fit_rows, (SELECT COUNT(*) FROM v_{m} WHERE i > cut) AS check_rows, round(p.a, 6) AS slope, round(p.b, 6) AS intercept,
+  round(raw_ll, 6) AS raw_log_loss, round(raw_e, 6) AS raw_ece, round(new_ll, 6) AS calibrated_log_loss, round(new_e, 6) AS calibrated_ece, {ok} AS accepted,
+  CASE WHEN {ok} THEN round(f.a, 6) END AS final_slope, CASE WHEN {ok} THEN round(f.b, 6) END AS final_intercept FROM wide_{m}, part_{m}_ p, all_{m}_ f""")
+    return f"{_SCORED}, " + ",\n  ".join(ctes) + "\n" + "\nUNION ALL ".join(parts)
+
+
+@query("m11_calibration_gate", _gate_sql(MODELS))
 def _(t):
-    """The tail's raw metrics, whether the verdict follows from the metrics, and whether the fit helps a badly scaled score."""
-    validation = _scored(t).filter((F.col("split") == "validation") & (F.col("model") == "steep"))
-    gate = modeling.calibration_gate(validation, "y", "p", "game_date", "event_id")
-    better = (F.col("calibrated_log_loss") < F.col("raw_log_loss")) & (F.col("calibrated_ece") < F.col("raw_ece"))
-    return rounded(gate.select(F.col("fit_rows").cast("bigint").alias("fit_rows"), "check_rows", "raw_log_loss", "raw_ece", (better == F.col("accepted")).alias("agrees"),
-                               (F.col("calibrated_log_loss") < F.col("raw_log_loss")).alias("fit_improves")), "raw_log_loss", "raw_ece")
+    """Fitted slopes and both metrics of the tail for each model, and the refit on all rows where the gate accepts."""
+    rows = _scored(t).filter(F.col("split") == "validation")
+    gates = [modeling.calibration_gate(rows.filter(F.col("model") == m), "y", "p", "game_date", "event_id").withColumn("model", F.lit(m)) for m in MODELS]
+    both = gates[0].unionByName(gates[1]).unionByName(gates[2])
+    return rounded(both, "slope", "intercept", "raw_log_loss", "raw_ece", "calibrated_log_loss", "calibrated_ece", "final_slope", "final_intercept")
 
 
 def _training_rows(t):
@@ -163,29 +186,83 @@ def _training_rows(t):
 
 
 _NUMBERS, _CATEGORIES = ["l_quantity", "l_tax", "l_discount"], ["l_linestatus", "supplier_group"]
-_CONSTANT = """WITH r AS (SELECT (l_quantity + l_partkey % 20 + CASE WHEN l_linestatus = 'F' THEN 5 ELSE 0 END > 38)::INTEGER AS y, year(l_shipdate) AS year FROM lineitem), b AS (SELECT AVG(y) AS p FROM r WHERE year < 1999)
-  SELECT COUNT(*) AS rows, round(-AVG(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS constant_log_loss, COUNT(*) > 0 AS beats_constant, COUNT(*) > 0 AS ranks_well FROM r, b WHERE year >= 1999"""
-
-
-def _fit_verdict(t, fit):
-    """A fitted model's test rows against the training rate as a constant: the verdict, not the digits, must agree."""
+_ROWS = """r AS (SELECT (l_quantity + l_partkey % 20 + CASE WHEN l_linestatus = 'F' THEN 5 ELSE 0 END > 38)::INTEGER AS y, CAST(l_quantity AS DOUBLE) AS q, CASE WHEN l_tax > 0 THEN CAST(l_tax AS DOUBLE) END AS raw_tax,
+  CAST(l_discount AS DOUBLE) AS d, l_linestatus AS status, 'S' || CAST(l_suppkey % 50 AS VARCHAR) AS supplier, year(l_shipdate) < 1999 AS train FROM lineitem),
+  x AS (SELECT row_number() OVER () AS id, y, q, coalesce(raw_tax, (SELECT median(raw_tax) FROM r WHERE train)) AS t, d, status, supplier, train FROM r)"""
+
+
+def _logistic_sql(steps: int = 12) -> str:
+    """Newton steps of two scaled numbers (penalised) and an intercept, each step's 3 x 3 system by Cramer's rule."""
+    scaled = "m AS (SELECT AVG(q) AS mq, stddev_pop(q) AS sq, AVG(t) AS mt, stddev_pop(t) AS st FROM x WHERE train), v AS (SELECT y, train, (q - mq) / sq AS u, (t - mt) / st AS w FROM x, m)"
+    out = ["n0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"]
+    det = lambda x, y, z: f"({x[0]} * ({y[1]} * {z[2]} - {z[1]} * {y[2]}) - {y[0]} * ({x[1]} * {z[2]} - {z[1]} * {x[2]}) + {z[0]} * ({x[1]} * {y[2]} - {y[1]} * {x[2]}))"
+    one, two, three, g = ("haa", "hab", "hac"), ("hab", "hbb", "hbc"), ("hac", "hbc", "hcc"), ("ga", "gb", "gc")
+    whole = det(one, two, three)
+    for k in range(steps):
+        out.append(f"""n{k + 1} AS (SELECT a - {det(g, two, three)} / {whole} AS a, b - {det(one, g, three)} / {whole} AS b, c - {det(one, two, g)} / {whole} AS c FROM (
+    SELECT a, b, c, SUM((p - y) * u) + a AS ga, SUM((p - y) * w) + b AS gb, SUM(p - y) AS gc, SUM(k * u * u) + 1 AS haa, SUM(k * u * w) AS hab, SUM(k * u) AS hac, SUM(k * w * w) + 1 AS hbb, SUM(k * w) AS hbc, SUM(k) AS hcc
+    FROM (SELECT *, p * (1 - p) AS k FROM (SELECT *, 1 / (1 + exp(-(a * u + b * w + c))) AS p FROM v, n{k} WHERE train)) GROUP BY a, b, c))""")
+    last = f"n{steps}"
+    return f"""WITH {_ROWS}, {scaled}, {", ".join(out)}, e AS (SELECT y, 1 / (1 + exp(-(a * u + b * w + c))) AS p FROM v, {last} WHERE NOT train)
+  SELECT 'l_quantity' AS term, round(a, 6) AS value FROM {last} UNION ALL SELECT 'l_tax', round(b, 6) FROM {last} UNION ALL SELECT 'intercept', round(c, 6) FROM {last}
+  UNION ALL SELECT 'test_log_loss', round(AVG(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) FROM e"""
+
+
+@query("m8_logistic_fit", _logistic_sql())
+def _(t):
+    """Coefficients of two numbers, one with missing values, and the log loss of later rows."""
     rows = _training_rows(t)
-    train, test = rows.filter(F.col("year") < 1999), rows.filter(F.col("year") >= 1999)
-    scored = fit(train, "label", _NUMBERS, _CATEGORIES).score(test, "p").withColumn("constant", train.agg(F.avg("label")).scalar())
-    metrics = modeling.evaluate(scored, [], "label", "p").select("rows", "log_loss", "roc_auc")
-    loss = F.avg(-(F.col("label") * F.log("constant") + (1 - F.col("label")) * F.log(1 - F.col("constant"))))
-    held = metrics.withColumn("constant_log_loss", scored.agg(loss).scalar())
-    return held.select("rows", F.round("constant_log_loss", 6).alias("constant_log_loss"), (F.col("log_loss") < F.col("constant_log_loss")).alias("beats_constant"), (F.col("roc_auc") > 0.75).alias("ranks_well"))
-
-
-@query("m8_logistic_fit", _CONSTANT)
+    model = modeling.fit_logistic(rows.filter(F.col("year") < 1999), "label", ["l_quantity", "l_tax"], [])
+    loss = modeling.evaluate(model.score(rows.filter(F.col("year") >= 1999), "p"), [], "label", "p").select(F.lit("test_log_loss").alias("term"), F.col("log_loss").alias("value"))
+    terms = literal_table(rows.sparkSession, list(model.coefficients().items()), "term string, value double")
+    return rounded(terms.unionByName(loss), "value")
+
+
+_STUMPS, _STEP, _L2, _LEAST = 4, 0.08, 1.0, 100
+
+
+def _stumps_sql() -> str:
+    """Rounds of two-leaf trees: gradients and curvatures per column and value, the best cut, the new scores."""
+    names = ["l_quantity", "l_tax", "l_discount", "l_linestatus", "supplier_group"]
+    fields = ["q", "t", "d", "status", "supplier"]
+    out = ["s0 AS (SELECT *, (SELECT ln(AVG(y) / (1 - AVG(y))) FROM x WHERE train) AS score FROM x)"]
+    for k in range(_STUMPS):
+        values = " UNION ALL ".join(
+            f"SELECT {i} AS f, CAST({c} AS VARCHAR) AS v, {c if i < 3 else 'NULL'}::DOUBLE AS o, p - y AS g, p * (1 - p) AS h FROM g{k}" for i, c in enumerate(fields))
+        side = "CASE f " + " ".join(f"WHEN {i} THEN CAST({c} AS VARCHAR)" for i, c in enumerate(fields)) + " END"
+        out.append(f"""g{k} AS (SELECT *, 1 / (1 + exp(-score)) AS p FROM s{k} WHERE train),
+  c{k} AS (SELECT f, v, coalesce(MAX(o), SUM(g) / (SUM(h) + {_L2})) AS o, SUM(g) AS g, SUM(h) AS h, COUNT(*) AS n FROM ({values}) GROUP BY 1, 2),
+  l{k} AS (SELECT f, v, o, SUM(g) OVER w AS gl, SUM(h) OVER w AS hl, SUM(n) OVER w AS nl, SUM(g) OVER z AS g, SUM(h) OVER z AS h, SUM(n) OVER z AS n FROM c{k} WINDOW w AS (PARTITION BY f ORDER BY o), z AS (PARTITION BY f)),
+  b{k} AS (SELECT *, gl * gl / (hl + {_L2}) + (g - gl) * (g - gl) / (h - hl + {_L2}) - g * g / (h + {_L2}) AS gain FROM l{k} WHERE nl >= {_LEAST} AND n - nl >= {_LEAST} ORDER BY gain DESC, f, o LIMIT 1),
+  s{k + 1} AS (SELECT s.* EXCLUDE (score), score - {_STEP} * CASE WHEN {side} IN (SELECT l{k}.v FROM l{k} JOIN b{k} USING (f) WHERE l{k}.o <= b{k}.o) THEN gl / (hl + {_L2}) ELSE (g - gl) / (h - hl + {_L2}) END AS score FROM s{k} s, b{k})""")
+    rounds = " UNION ALL ".join(
+        f"SELECT {k + 1} AS round, ({names!r})[f + 1] AS feature, CAST(nl AS BIGINT) AS left_rows, round(gain, 4) AS gain FROM b{k}".replace("(['", "['").replace("'])[", "'][") for k in range(_STUMPS))
+    return f"""WITH {_ROWS}, {", ".join(out)} {rounds}
+  UNION ALL SELECT {_STUMPS + 1}, 'test_log_loss', COUNT(*), round(AVG(ln(1 + exp(CASE WHEN y = 1 THEN -score ELSE score END))), 6) FROM s{_STUMPS} WHERE NOT train"""
+
+
+@query("m9_boosted_stumps", _stumps_sql())
 def _(t):
-    return _fit_verdict(t, modeling.fit_logistic)
+    """Boosting rounds of two leaves: chosen column, rows on the left and gain of each round, and the log loss of later rows."""
+    rows = _training_rows(t)
+    train, test = rows.filter(F.col("year") < 1999), rows.filter(F.col("year") >= 1999)
+    settings = boosting.Settings(rounds=_STUMPS, leaves=2, step=_STEP, l2=_L2, min_leaf=_LEAST, patience=None)
+    model = modeling.fit_boosting(train, "label", _NUMBERS, _CATEGORIES, settings)
+    cuts = [(i + 1, model.binning.columns[tree.column[0]], tree.rows[1], float(tree.gain[0])) for i, tree in enumerate(model.trees)]
+    chosen = literal_table(t.spark, cuts, "round int, feature string, left_rows bigint, gain double").withColumn("gain", F.round("gain", 4))
+    loss = modeling.evaluate(model.score(test, "p"), [], "label", "p")
+    return chosen.unionByName(loss.select(F.lit(_STUMPS + 1).alias("round"), F.lit("test_log_loss").alias("feature"), F.col("rows").alias("left_rows"), F.round("log_loss", 6).alias("gain")))
 
 
-@query("m9_boosting_fit", _CONSTANT)
+@query("m9_boosting_fit")
 def _(t):
-    return _fit_verdict(t, modeling.fit_boosting)
+    """The stated fit of 160 rounds and 31 leaves: metrics of later rows (no SQL form; tested against a brute-force tree)."""
+    rows = _training_rows(t)
+    train, test = rows.filter(F.col("year") < 1999), rows.filter(F.col("year") >= 1999)
+    model = modeling.fit_boosting(train, "label", _NUMBERS, _CATEGORIES)
+    shape = {"trees": len(model.trees), "most_leaves": max(((len(tree.column) + 1) // 2 for tree in model.trees), default=0)}
+    scored = modeling.evaluate(model.score(test, "p"), [], "label", "p").select("rows", "log_loss", "roc_auc", "expected_calibration_error")
+    return scored.withColumns({name: F.lit(n) for name, n in shape.items()})
 
 
 @query("m17_league_priors", f"""{BIND}, a AS (SELECT game_pk, pitcher_team, pitcher_id, COUNT(*) FILTER (plate_appearance_event <> 'truncated_pa') AS b, COUNT(*) FILTER (plate_appearance_event LIKE 'strikeout%') AS k, MIN(pitch_number) AS f, ANY_VALUE(game_date) AS d FROM fact JOIN ctx USING (game_pk)
