@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldglass.catalog.queries_marts import rounded
@@ -10,8 +12,8 @@ from fieldglass.catalog.tables import BIND, GAME, RAW
 from fieldglass.operators import incremental, quality
 from fieldglass.operators.joins import symmetric_difference
 from fieldglass.plans import audit, gold, history
-from fieldglass.session import literal_table
-from fieldglass.sources import landing, nested, sinks
+from fieldglass.session import literal_table, shared_folder
+from fieldglass.sources import landing, nested, sinks, versions
 
 
 @query("q1_q4_fact_checks", f"""{BIND}, r AS (SELECT COUNT(*) > 0 AS fact_has_rows, COUNT(*) = COUNT(DISTINCT pitch_id) AS pitch_id_is_unique, COUNT(*) FILTER (game_pk IS NULL OR pitcher_id IS NULL OR batter_id IS NULL) = 0 AS required_ids_not_null,
@@ -227,6 +229,37 @@ def _(t):
     return incremental.weekly_compaction(_ledger(t))
 
 
+def _versioned(t) -> str:
+    """A table of three versions: all events, corrections that move every tenth event a day on, and compacted weeks."""
+    path = f"{shared_folder(t.spark)}/versioned-{uuid.uuid4().hex}"
+    rows = t.events.select("event_id", F.to_date("ts").alias("day"), "event_type")
+    versions.replace(rows, path, "day")
+    moved = rows.filter(F.col("event_id") % 10 == 0).select("event_id", F.date_add("day", 1).alias("day"), F.lit("moved").alias("event_type"), F.lit(1).alias("round"))
+    versions.upsert(moved, path, ["event_id"], "day", [F.col("round")])
+    versions.compact_weeks(t.spark, path, "day", ["event_id"])
+    return path
+
+
+_MOVED = """e AS (SELECT event_id, CAST(ts AS DATE) AS day, event_type FROM events),
+  m AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN day + 1 ELSE day END AS day, CASE WHEN event_id % 10 = 0 THEN 'moved' ELSE event_type END AS event_type, CASE WHEN event_id % 10 = 0 THEN 1 END AS round FROM e)"""
+
+
+@query("i2_versions", f"WITH {_MOVED} SELECT 1 AS version, event_id, day, event_type, NULL AS round FROM e UNION ALL SELECT 3, event_id, day, event_type, round FROM m")
+def _(t):
+    """The first version, still readable, and the last one: upserted, with a new column, and compacted."""
+    path = _versioned(t)
+    first = versions.read(t.spark, path, 1).withColumns({"round": F.lit(None).cast("int"), "version": F.lit(1)})
+    return first.unionByName(versions.read(t.spark, path).withColumn("version", F.lit(3)))
+
+
+@query("i5_compacted_weeks", f"""WITH {_MOVED}, d AS (SELECT DISTINCT day, date_trunc('week', day)::DATE AS monday FROM m), w AS (SELECT *, COUNT(*) OVER (PARTITION BY monday) AS n FROM d)
+  SELECT DISTINCT CAST(CASE WHEN n = 7 THEN monday ELSE day END AS VARCHAR) AS span, CASE WHEN n = 7 THEN 7 ELSE 1 END AS days FROM w""")
+def _(t):
+    path = _versioned(t)
+    again = versions.compact_weeks(t.spark, path, "day", ["event_id"])
+    return versions.entry_table(t.spark, path, again)
+
+
 @query("i6_chunk_plan", """WITH b AS (SELECT MIN(CAST(ts AS DATE)) AS a, MAX(CAST(ts AS DATE)) AS z FROM events), d AS (SELECT unnest(generate_series(a, z, INTERVAL 1 DAY))::DATE AS d, a, z FROM b),
   w AS (SELECT DISTINCT CASE WHEN m >= a AND m + 6 <= z THEN m ELSE d END AS chunk_start, CASE WHEN m >= a AND m + 6 <= z THEN m + 6 ELSE d END AS chunk_end FROM (SELECT *, date_trunc('week', d)::DATE AS m FROM d))
   SELECT 1 AS season, chunk_start, chunk_end FROM w UNION ALL SELECT 2, d, least(d + 3, z) FROM d WHERE (d - a) % 4 = 0""")

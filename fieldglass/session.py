@@ -57,19 +57,29 @@ def literal_table(spark: SparkSession, rows: list[tuple], columns: str):
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})").selectExpr(*[f"cast({n} AS {t}) AS {n}" for n, t in fields])
 
 
-def cut_lineage(df):
-    """Materialise a reused frame in the shared folder that `spark.checkpoint.dir` names.
+_OWN_FOLDER: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names, shared by driver and executors.
 
     Only a session whose driver is its one executor (local[*]) may go without that setting; it then
     gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and re.fullmatch(r"local(\[.*\])?", context.master):
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        if folder is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and re.fullmatch(r"local(\[.*\])?", context.master):
+        if context.applicationId not in _OWN_FOLDER:
+            _OWN_FOLDER[context.applicationId] = tempfile.mkdtemp(prefix="shared-")
+        folder = _OWN_FOLDER[context.applicationId]
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
+def cut_lineage(df):
+    """Materialise a reused frame in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -19,10 +19,6 @@ def spread(df: DataFrame, part: str, by: list[str], rows_per_file: int = ROWS_PE
     return sized.repartition(part, F.pmod(F.xxhash64(*by), F.col("__files"))).drop("__part", "__files")
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def write_landing(df: DataFrame, path: str, start: str, end: str, day: str = "game_date") -> None:
     """Lineage columns, a day partition per folder, rows in event order inside each file."""
     stamped = df.withColumns({"source_start_date": F.lit(start), "source_end_date": F.lit(end), "loaded_at_utc": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")})
@@ -67,6 +63,7 @@ def append_run_log(row: DataFrame, path: str) -> None:
 
 
 def publish_view(df: DataFrame, name: str) -> None:
+    """A view for SQL, nothing written; over `versions.read` it stays at the version that was read."""
     df.createOrReplaceTempView(name)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from fieldglass.operators.incremental import upsert_partitions
+from fieldglass.sources import versions
 
 
 def landed_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -17,16 +17,18 @@ def landed_stream(spark: SparkSession, folder: str, schema: str, files_per_batch
 def upsert_stream(
     stream: DataFrame,
     target: str,
-    staging: str,
     checkpoint: str,
     keys: list[str],
     day: str,
     order: list[Column],
     prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
 ) -> StreamingQuery:
-    """Apply every available file once.  A batch replayed after a failure gives the same table."""
+    """Apply every available file once, each batch as one version of the table at `target`.
+
+    A batch replayed after a failure gives the same rows.
+    """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        upsert_partitions(batch.sparkSession, target, prepare(batch), keys, day, order, f"{staging}/{epoch}")
+        versions.upsert(prepare(batch), target, keys, day, order)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
