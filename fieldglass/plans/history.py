@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.operators.ordered import join_null_safe
@@ -69,65 +68,92 @@ def eligible(features: DataFrame, target: Target) -> DataFrame:
     return features.filter((F.col("batted_ball_flag") == 1) & F.col("hard_hit_flag").isNotNull())
 
 
-def entity_history(events: DataFrame, entity: Entity, label: str, target: Target, instant: str = "game_datetime_utc", game: str = "game_pk") -> DataFrame:
-    """One row per entity-game: counts and rates over earlier events only.
+_WHO = ["kind", "ka", "kb"]
+
+
+def by_entity(events: DataFrame, entities: list[Entity], *columns: str) -> DataFrame:
+    """One row per event and entity kind it belongs to: (kind, ka, kb) name the entity; missing keys belong to none."""
+    text = lambda e, i: F.col(e.keys[i]).cast("string") if i < len(e.keys) else F.lit("")
+    who = F.array(*[F.struct(F.lit(i).alias("kind"), text(e, 0).alias("ka"), text(e, 1).alias("kb")) for i, e in enumerate(entities)])
+    spread = events.select(*columns, F.explode(who).alias("__w")).select(*columns, "__w.*")
+    return spread.filter(F.col("ka").isNotNull() & F.col("kb").isNotNull())
 
-    A game has one instant, so an entity's events are contiguous per game.  Day frames
-    range over entity-game totals.  The last-n-events frame needs the running label count
-    at one position inside an older game: positions are numbered game by game, and the
-    value is fetched by an equi-join on (entity, position), which no two events share.
+
+def entity_games(events: DataFrame, entities: list[Entity], label: str, target: Target, instant: str = "game_datetime_utc", game: str = "game_pk") -> DataFrame:
+    """One row per entity and game, for all kinds at once: counts and label sums over earlier events only.
+
+    A game has one instant, so an entity's events are contiguous per game, and frames range over
+    entity-game totals.  The left edge of the last-n frame lies inside some earlier game: that game is found
+    among the totals, and only the events of such games are numbered.
     """
-    keyed = events.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in entity.keys]))
-    slim = keyed.select(*entity.keys, game, F.unix_micros(F.col(instant).cast("timestamp")).alias("__at"), *EVENT_ORDER, F.col(label).cast("bigint").alias("__y"))
-    games = slim.groupBy(*entity.keys, game, "__at").agg(F.count("*").alias("__n"), F.sum("__y").alias("__s"))
-    career = Window.partitionBy(*entity.keys).orderBy(F.col("__at").asc_nulls_last(), game)
-    before = career.rowsBetween(Window.unboundedPreceding, -1)
-    games = games.withColumns({
-        "__before": F.coalesce(F.sum("__n").over(before), F.lit(0)),
-        "__hits": F.coalesce(F.sum("__s").over(before), F.lit(0)),
-    })
-    moments = Window.partitionBy(*entity.keys).orderBy("__at")
-    for days in entity.days:
+    staged = events.withColumns({"__at": F.unix_micros(F.col(instant).cast("timestamp")), "__y": F.col(label).cast("bigint")})
+    spread = by_entity(staged, entities, game, "__at", *EVENT_ORDER, "__y")
+    games = spread.groupBy(*_WHO, game, "__at").agg(F.count("*").alias("__n"), F.sum("__y").alias("__s"))
+    before = Window.partitionBy(*_WHO).orderBy(F.col("__at").asc_nulls_last(), game).rowsBetween(Window.unboundedPreceding, -1)
+    games = games.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__hits": F.coalesce(F.sum("__s").over(before), F.lit(0))})
+    moments = Window.partitionBy(*_WHO).orderBy("__at")
+    for days in sorted({d for e in entities for d in e.days}):
         frame = moments.rangeBetween(-days * MICROS_PER_DAY, -1)
-        n, s = F.coalesce(F.sum("__n").over(frame), F.lit(0)), F.sum("__s").over(frame)
-        games = games.withColumn(target.count_name(entity, f"{days}d"), n)
-        games = games.withColumn(target.rate_name(entity, f"{days}d"), s / F.when(n > 0, n))
-    inside = Window.partitionBy(*entity.keys, game).orderBy(*EVENT_ORDER)
-    positions = (
-        slim.select(*entity.keys, game, *EVENT_ORDER, "__y")
-        .withColumn("__j", F.row_number().over(inside))
-        .withColumn("__c", F.sum("__y").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(games.select(*entity.keys, game, "__before", "__hits"), [*entity.keys, game])
-        .select(*entity.keys, (F.col("__before") + F.col("__j")).alias("__edge"), (F.col("__hits") + F.col("__c")).alias("__edge_hits"))
-    )
-    rows = F.lit(target.rows_of(entity))
-    probed = games.withColumn("__edge", F.when(F.col("__before") > rows, F.col("__before") - rows))
-    found = probed.join(positions, [*entity.keys, "__edge"], "left")
-    count = F.least(F.col("__before"), rows.cast("bigint"))
-    hits = F.col("__hits") - F.coalesce("__edge_hits", F.lit(0))
+        games = games.withColumns({f"__n{days}": F.coalesce(F.sum("__n").over(frame), F.lit(0)), f"__s{days}": F.sum("__s").over(frame)})
+    length = F.coalesce(*[F.when(F.col("kind") == i, F.lit(target.rows_of(e)).cast("bigint")) for i, e in enumerate(entities)])
+    games = cut_lineage(games.withColumn("__rows", length))
+
+    # Positions where games begin and positions of edges on one axis: the last beginning before an edge is its game.
+    here = F.struct(game, F.col("__before"), F.col("__hits"), F.col("__n"), F.col("__s"))
+    begin = F.struct(F.col("__before").alias("pos"), F.lit(0).alias("role"), here.alias("spot"), F.when(F.lit(False), F.col(game)).alias("asks"))
+    edge = F.struct((F.col("__before") - F.col("__rows") - 1).alias("pos"), F.lit(1).alias("role"), F.when(F.lit(False), here).alias("spot"), F.col(game).alias("asks"))
+    axis = games.select(*_WHO, F.explode(F.array(begin, edge)).alias("__p")).select(*_WHO, "__p.*").filter("pos >= 0")
+    along = Window.partitionBy(*_WHO).orderBy("pos", "role").rowsBetween(Window.unboundedPreceding, 0)
+    spots = axis.withColumn("spot", F.last("spot", ignorenulls=True).over(along)).filter("role = 1")
+    spots = spots.select(*_WHO, F.col("asks").alias(game), F.col(f"spot.{game}").alias("__in"), (F.col("pos") + 1 - F.col("spot.__before")).alias("__j"),
+                         F.col("spot.__hits").alias("__base"), F.col("spot.__n").alias("__whole"), F.col("spot.__s").alias("__all"))
+    spots = cut_lineage(spots)
+    cut_games = spots.filter("__j < __whole").select(*_WHO, F.col("__in").alias(game)).distinct()
+    inside = Window.partitionBy(*_WHO, game).orderBy(*EVENT_ORDER)
+    numbered = spread.join(cut_games, [*_WHO, game], "left_semi").withColumns({
+        "__j": F.row_number().over(inside).cast("bigint"), "__c": F.sum("__y").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+    numbered = numbered.select(*_WHO, F.col(game).alias("__in"), "__j", "__c")
+    found = spots.join(numbered, [*_WHO, "__in", "__j"], "left")
+    found = found.select(*_WHO, game, (F.col("__base") + F.when(F.col("__j") == F.col("__whole"), F.col("__all")).otherwise(F.col("__c"))).alias("__edge"))
+    return games.join(found, [*_WHO, game], "left")
+
+
+def _measures(entity: Entity, target: Target) -> dict[str, Column]:
+    """The produced columns of one kind, from the columns of `entity_games`."""
+    count = F.least(F.col("__before"), F.col("__rows"))
+    hits = F.col("__hits") - F.coalesce("__edge", F.lit(0))
     frame = str(target.rows_of(entity))
-    return found.select(
-        *entity.keys, game,
-        count.alias(target.count_name(entity, frame)),
-        (hits / F.when(count > 0, count)).alias(target.rate_name(entity, frame)),
-        *[c(entity, f"{d}d") for d in entity.days for c in (target.count_name, target.rate_name)],
-    )
+    out = {target.count_name(entity, frame): count, target.rate_name(entity, frame): hits / F.when(count > 0, count)}
+    for days in entity.days:
+        n, s = F.col(f"__n{days}"), F.col(f"__s{days}")
+        out |= {target.count_name(entity, f"{days}d"): n, target.rate_name(entity, f"{days}d"): s / F.when(n > 0, n)}
+    return out
+
+
+def entity_history(events: DataFrame, entity: Entity, label: str, target: Target, instant: str = "game_datetime_utc", game: str = "game_pk") -> DataFrame:
+    """One row per game of one kind of entity, under its own key columns."""
+    games = entity_games(events, [entity], label, target, instant, game)
+    keys = [F.col(name).cast(events.schema[k].dataType).alias(k) for k, name in zip(entity.keys, ("ka", "kb"))]
+    return games.select(*keys, game, *[value.alias(name) for name, value in _measures(entity, target).items()])
 
 
 def pregame_training(features: DataFrame, target: Target, entities: list[Entity] | None = None, materialise: bool = True) -> DataFrame:
     """Eligible pitches with every entity's frozen history and the renamed label.
 
-    History tables hold one row per entity-game, and every join is on the entity and the game.
-    The eligible rows feed eleven branches, so they are written once to the checkpoint folder
-    instead of being recomputed per branch.
+    All kinds of entities go through one exploded frame: slim event rows (game, pitch, entity) meet the
+    entity-games once, and the measures of a pitch come back to one row by an aggregation.  Pitches that
+    lack a key of some entity are left out.
     """
+    entities = entities or ENTITIES
     rows = eligible(features, target)
     if materialise:
         rows = cut_lineage(rows)
-    out = rows
-    for entity in entities or ENTITIES:
-        out = out.join(entity_history(rows, entity, target.label, target), ["game_pk", *entity.keys])
-    return out.withColumn(f"target_{target.key}", F.col(target.label)).drop(
+    games = entity_games(rows, entities, target.label, target)
+    met = by_entity(rows, entities, "game_pk", "pitch_id").join(games, [*_WHO, "game_pk"])
+    measures = [F.max(F.when(F.col("kind") == i, value)).alias(name) for i, e in enumerate(entities) for name, value in _measures(e, target).items()]
+    wide = met.groupBy("game_pk", "pitch_id").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("__kinds"), *measures)
+    wide = wide.filter(F.col("__kinds") == (1 << len(entities)) - 1).drop("__kinds")
+    return rows.join(wide, ["game_pk", "pitch_id"]).withColumn(f"target_{target.key}", F.col(target.label)).drop(
         "swing_flag", "whiff_flag", "batted_ball_flag", "hard_hit_flag"
     )
 

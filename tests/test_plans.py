@@ -162,3 +162,31 @@ def test_date_chunks():
     assert days == [(dt.date(2025, 4, 1), dt.date(2025, 4, 3)), (dt.date(2025, 4, 4), dt.date(2025, 4, 6)), (dt.date(2025, 4, 7), dt.date(2025, 4, 8))]
     with pytest.raises(ValueError):
         list(incremental.date_chunks(dt.date(2025, 4, 2), dt.date(2025, 4, 1), 3))
+
+
+def test_histories_of_all_kinds_equal_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rows, instants = [], {}
+    for game in range(1, 60):
+        instants[game] = int(rng.integers(0, 60))
+        for a in range(int(rng.integers(1, 9))):
+            for n in range(int(rng.integers(1, 4))):
+                rows.append((game, a, n, int(rng.integers(1, 4)), int(rng.integers(5, 8)), [None, "FF", "SL"][int(rng.integers(0, 3))], int(rng.integers(0, 2)), instants[game]))
+    kinds = [history.Entity("pitcher", ["pitcher_id"], 7, [14, 30]), history.Entity("batter_pitch_type", ["batter_id", "pitch_type"], 3, [30]), history.Entity("matchup", ["pitcher_id", "batter_id"], 4)]
+    frame = _features(spark, rows)
+    mart = {r.pitch_id: r for r in history.pregame_training(frame, history.WHIFF, kinds).collect()}
+    events = sorted(frame.collect(), key=lambda r: (r.game_datetime_utc, r.game_pk, r.at_bat_number, r.pitch_number, r.pitch_id))
+    assert set(mart) == {r.pitch_id for r in events if r.pitch_type is not None} and len(mart) < len(events)
+    for r in mart.values():
+        for e in kinds:
+            mine = [x for x in events if all(x[k] == r[k] for k in e.keys)]
+            earlier = [x for x in mine if (x.game_datetime_utc, x.game_pk) < (r.game_datetime_utc, r.game_pk)][-e.rows:]
+            frames = {str(e.rows): earlier}
+            for days in e.days:
+                frames[f"{days}d"] = [x for x in mine if dt.timedelta(0) < r.game_datetime_utc - x.game_datetime_utc <= dt.timedelta(days=days)]
+            for name, found in frames.items():
+                assert r[history.WHIFF.count_name(e, name)] == len(found), (e.name, name)
+                rate = r[history.WHIFF.rate_name(e, name)]
+                assert rate is None if not found else abs(rate - sum(x.whiff_flag for x in found) / len(found)) < 1e-12
