@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.operators.ordered import join_null_safe
+
 
 def with_fallback(df: DataFrame, dim: DataFrame, key: str, name: str, choices: list[Column], ) -> DataFrame:
     """Left lookup in a dimension; the first present choice names the row."""
@@ -22,38 +24,43 @@ def nearest_in_time(
     carried: list[str],
     tolerance_seconds: int,
     prefix: str = "nearest_",
+    slots: int = 64,
 ) -> DataFrame:
     """Symmetric nearest-time join: the closest right row within a tolerance, ties to the earlier.
 
-    Time is cut into buckets one tolerance wide.  A match lies in the row's own bucket, or is
-    the last right row of the bucket before or the first of the one after, so only those two
-    boundary rows are copied.  Each task orders one (key, bucket); no pair list is built.
+    Time is cut into slots, `slots` of them to a tolerance, and each task orders one (key, slot), so a busy
+    key is as many tasks as it has slots.  The last right row before a slot and the first one after it are
+    carried over a table of one row per key and slot; no pair list is built.  Rows of one key at one
+    instant stay in a task.
     """
     width = tolerance_seconds * 1_000_000
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slot = F.floor(F.col("__t") / max(width // slots, 1)).alias("__b")
     marks = (
         right.select(*keys, micros(right_time).alias("__t"), F.struct(F.col(right_time).alias("time"), *carried).alias("__row"))
         .filter(F.col("__t").isNotNull())
         .groupBy(*keys, "__t")
         .agg(F.min("__row").alias("__row"))
-        .withColumn("__b", F.floor(F.col("__t") / width))
     )
-    at = F.struct("__t", "__row").alias("__m")
-    edges = marks.groupBy(*keys, "__b").agg(F.max_by(at, "__t").alias("__last"), F.min_by(at, "__t").alias("__first"))
-    from_before = edges.select(*keys, (F.col("__b") + 1).alias("__b"), "__last.*")
-    from_after = edges.select(*keys, (F.col("__b") - 1).alias("__b"), "__first.*")
-    offered = marks.select(*keys, "__b", "__t", "__row").unionByName(from_before).unionByName(from_after)
-    payload = left.columns
-    asked = left.withColumn("__t", micros(left_time)).withColumn("__b", F.floor(F.col("__t") / width))
-    both = asked.select(*keys, "__b", "__t", F.struct(*payload).alias("__ask"), F.lit(None).cast(offered.schema["__row"].dataType).alias("__row")).unionByName(
-        offered.select(*keys, "__b", "__t", F.lit(None).cast(asked.select(F.struct(*payload).alias("s")).schema["s"].dataType).alias("__ask"), "__row")
+    asked = left.withColumn("__t", micros(left_time)).select(*keys, "__t", F.struct(*left.columns).alias("__ask"))
+    both = asked.select(*keys, "__t", slot, "__ask", F.lit(None).cast(marks.schema["__row"].dataType).alias("__row")).unionByName(
+        marks.select(*keys, "__t", slot, F.lit(None).cast(asked.schema["__ask"].dataType).alias("__ask"), "__row")
     )
     mark = F.when(F.col("__row").isNotNull(), F.struct("__t", "__row"))
+    ends = both.select(*keys, "__b", "__t", mark.alias("__m")).groupBy(*keys, "__b").agg(
+        F.max_by("__m", F.when(F.col("__m").isNotNull(), F.col("__t"))).alias("__last"), F.min_by("__m", F.when(F.col("__m").isNotNull(), F.col("__t"))).alias("__first"))
+    # One row per key and slot of time: bounded by the calendar, not by the rows.
+    line = Window.partitionBy(*keys).orderBy("__b")
+    ends = ends.select(
+        *keys, "__b", F.last("__last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.first("__first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
     backward = Window.partitionBy(*keys, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
     forward = Window.partitionBy(*keys, "__b").orderBy(F.col("__t").desc()).rangeBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__prev", F.last(mark, ignorenulls=True).over(backward)).withColumn(
         "__next", F.last(mark, ignorenulls=True).over(forward)
     ).filter(F.col("__ask").isNotNull())
+    found = join_null_safe(found, ends, [*keys, "__b"])
+    found = found.withColumns({"__prev": F.coalesce("__prev", "__before"), "__next": F.coalesce("__next", "__after")})
     gap = lambda side: F.abs(F.col(f"{side}.__t") - F.col("__t"))
     near = F.when(
         F.col("__prev").isNotNull() & (F.col("__next").isNull() | (gap("__prev") <= gap("__next"))), F.col("__prev")

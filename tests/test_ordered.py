@@ -76,6 +76,30 @@ def test_nearest_in_time(spark, events):
         assert (pd.isna(value) and near.empty) or value == near.iloc[0].id
 
 
+def test_nearest_in_time_of_a_hot_key(spark):
+    import bisect
+    import random
+
+    random.seed(11)
+    moment = lambda s: (pd.Timestamp("2024-03-01") + pd.Timedelta(microseconds=s)).to_pydatetime()
+    # One key with nearly all rows inside one tolerance, far rows, repeated instants, a null instant and a null key.
+    asks = [(i, "hot", random.randrange(0, 3_600_000_000)) for i in range(1_500)] + [(2_000, "hot", 90_000_000_000), (2_001, "cold", 5), (2_003, None, 7)]
+    marks = [("hot", random.randrange(0, 3_600_000_000, 1_000_000), k) for k in range(900)] + [("hot", 93_600_000_000, 901), ("cold", 3_600_000_005, 902), (None, 3_000_007, 903)]
+    left = spark.createDataFrame([(i, k, moment(t)) for i, k, t in asks] + [(2_002, "hot", None)], "id int, user string, ts timestamp")
+    right = spark.createDataFrame([(k, moment(t), n) for k, t, n in marks], "user string, at timestamp, rid int")
+    got = {r.id: r for r in joins.nearest_in_time(left, right, ["user"], "ts", "at", ["rid"], 3600).collect()}
+    assert len(got) == len(asks) + 1 and got[2_002].nearest_rid is None
+    for i, key, t in asks:
+        own = sorted((s, n) for k, s, n in marks if k == key)
+        at = bisect.bisect_left(own, (t, -1))
+        near = min(own[max(0, at - 3):at + 3], key=lambda m: (abs(m[0] - t), m[0], m[1]))
+        first = min(n for s, n in own if s == near[0])
+        assert got[i].nearest_rid == (first if abs(near[0] - t) <= 3_600_000_000 else None), i
+    # A plain partition by key and slot holds a small part of the hot key.
+    slots = {(t // (3_600_000_000 // 64)) for _, k, t in asks if k == "hot"}
+    assert len(slots) > 60
+
+
 def test_waterfall_restarts_at_totals(spark):
     df = spark.createDataFrame([(1, 1, 100.0, True), (1, 2, 20.0, False), (1, 3, -50.0, False), (1, 4, 70.0, True), (1, 5, 5.0, False)], "k int, i int, v double, t boolean")
     rows = shape.waterfall(df, ["k"], "i", "v", "t").orderBy("i").collect()
