@@ -225,32 +225,66 @@ def average_rank_share(df: DataFrame, value: str, names: dict[str, bool]) -> Dat
     return lookup_by_value(df, spots.select(value, "peers", *shares), [value], list(names))
 
 
+_SKETCH = 10_000  # accuracy of the first guess
+_SMALL = 4_096  # keys of so many rows need no guess
+_WINDOW = 200_000  # counted values of one key and fraction that one task may order
+
+
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], how: str = "linear"
 ) -> DataFrame:
-    """Exact quantiles per key from value counts; no task ever holds a whole group.
+    """Exact quantiles per key: a sketch narrows the value range, only the rows inside it are counted and ordered.
 
-    `how` is "linear" (interpolated between neighbours) or "higher" (the next observation).
+    `how` is "linear" (interpolated between neighbours) or "higher" (the next observation).  A sketch per
+    key bounds each quantile from both sides, three times wider than its error.  Rows below the range are
+    counted, rows inside it are counted by value, and the ranks are looked up there; keys of few rows are
+    inside as a whole.  What is inside is split by order buckets if it is more than a task should order.
+    A range that missed its rank would stop the job instead of giving a wrong value.
     """
-    counted = value_counts(df, keys, value)
-    spots = value_positions(df, keys, value, counted)
-    sizes = counted.groupBy(*keys).agg(F.sum("peers").alias("n"))
-    positioned = join_null_safe(spots, sizes, keys) if keys else spots.withColumn("n", counted.agg(F.sum("peers")).scalar())
-    number = F.col(value).cast("double")
+    own, names = keys or ["__all"], list(fractions)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, *([] if keys else [F.lit(1).alias("__all")]), F.col(value).cast("double").alias("__v"))
+    wide = 3 / _SKETCH
+    shares = [max(0.0, f - wide) for f in fractions.values()] + [min(1.0, f + wide) for f in fractions.values()]
+    stats = rows.groupBy(*own).agg(
+        F.count(F.lit(1)).alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.percentile_approx("__v", shares, _SKETCH).alias("__p"))
+    ranges = []
+    for k, f in enumerate(fractions.values()):
+        low = F.col("__max") if f >= 1 else F.col("__min") if f <= wide else F.col("__p")[k]
+        high = F.col("__min") if f <= 0 else F.col("__max") if f >= 1 - wide else F.col("__p")[len(names) + k]
+        ranges.append(F.struct(F.lit(k).alias("tag"), low.alias("lo"), high.alias("hi")))
+    whole = F.array(F.struct(F.lit(-1).alias("tag"), F.col("__min").alias("lo"), F.col("__max").alias("hi")))
+    ranges = cut_lineage(stats.select(*own, "n", F.when(F.col("n") <= _SMALL, whole).otherwise(F.array(*ranges)).alias("__r")))
+
+    met = join_null_safe(rows, ranges, own)
+    inside = met.select(*own, "__v", F.explode(F.filter("__r", lambda r: (F.col("__v") >= r["lo"]) & (F.col("__v") <= r["hi"]))["tag"]).alias("__tag"))
+    counted = cut_lineage(inside.groupBy(*own, "__tag", "__v").agg(F.count(F.lit(1)).alias("peers")))
+    most = counted.groupBy(*own, "__tag").count().agg(F.max("count")).first()[0] or 0
+    part = [*own, "__tag"]
+    if most <= _WINDOW:
+        through = F.sum("peers").over(Window.partitionBy(*part).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+        placed = counted.withColumn("through", through)
+    else:
+        placed = running_sums(counted, part, F.col("__v"), [F.col("__v").asc()], {"through": F.col("peers")})
+    less = lambda k: F.sum((F.col("__v") < F.get(F.col("__r"), k)["lo"]).cast("bigint"))
+    below = met.filter(F.col("n") > _SMALL).groupBy(*own).agg(F.array(*[less(k) for k in range(len(names))]).alias("__less"))
+    placed = join_null_safe(join_null_safe(placed, ranges.select(*own, "n"), own), below, own, "left")
+    placed = placed.withColumn("through", F.col("through") + F.coalesce(F.when(F.col("__tag") >= 0, F.get("__less", F.col("__tag"))), F.lit(0)))
+    placed = placed.withColumn("below", F.col("through") - F.col("peers"))
     aggregates = []
-    for name, fraction in fractions.items():
+    for k, (name, fraction) in enumerate(fractions.items()):
         spot = (F.col("n") - 1) * F.lit(float(fraction))
-        low, high = F.floor(spot), F.ceil(spot)
-        covers = lambda p: (F.col("below") <= p) & (p < F.col("through"))
+        mine = (F.col("__tag") == k) | (F.col("__tag") == -1)
+        covers = lambda p: mine & (F.col("below") <= p) & (p < F.col("through"))  # noqa: B023, E731
         aggregates += [
-            F.max(F.when(covers(low), number)).alias(f"__lo_{name}"),
-            F.max(F.when(covers(high), number)).alias(f"__hi_{name}"),
+            F.max(F.when(covers(F.floor(spot)), F.col("__v"))).alias(f"__lo_{name}"),
+            F.max(F.when(covers(F.ceil(spot)), F.col("__v"))).alias(f"__hi_{name}"),
         ]
-    picked = positioned.groupBy(*keys).agg(F.max("n").alias("n"), *aggregates)
+    picked = placed.groupBy(*own).agg(F.max("n").alias("n"), *aggregates)
     outputs = []
     for name, fraction in fractions.items():
         spot = (F.col("n") - 1) * F.lit(float(fraction))
-        low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        missed = F.raise_error("exact_quantiles: a range missed its rank").cast("double")
+        low, high = F.coalesce(f"__lo_{name}", missed), F.coalesce(f"__hi_{name}", missed)
         outputs.append((high if how == "higher" else low + (high - low) * (spot - F.floor(spot))).alias(name))
     return picked.select(*keys, "n", *outputs)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,30 @@ def test_quantiles_match_pandas(spark, events):
         assert abs(got[user] - g.id.quantile(0.3)) < 1e-9
 
 
+def test_quantiles_of_large_small_and_null_keys(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [("hot", float(v)) for v in np.round(rng.exponential(50, 9_000), 1)] + [("ties", 7.0)] * 6_000 + [("ties", 9.0)] * 10
+    rows += [("small", float(v)) for v in range(11)] + [(None, float(v)) for v in rng.normal(size=5_000)] + [("one", 3.5), ("none", None)]
+    rows += [("far", float(v)) for v in 10.0 ** rng.uniform(-300, 300, 5_000)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    fractions = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9995, "e": 1.0}
+    for limit in (10 ** 6, 1):  # one task a key, and split by order buckets
+        monkeypatch.setattr(ordered, "_WINDOW", limit)
+        got = {r.k: r for r in ordered.exact_quantiles(df, ["k"], "v", fractions).collect()}
+        assert set(got) == {"hot", "ties", "small", None, "one", "far"}
+        for key, r in got.items():
+            values = np.array([v for k, v in rows if k == key])
+            assert r.n == len(values)
+            for name, f in fractions.items():
+                assert np.isclose(r[name], np.quantile(values, f), rtol=1e-12), (key, name)
+        higher = {r.k: r.c for r in ordered.exact_quantiles(df, ["k"], "v", {"c": 0.5}, "higher").collect()}
+        assert all(higher[k] == np.quantile([v for x, v in rows if x == k], 0.5, method="higher") for k in higher)
+    everything = ordered.exact_quantiles(df, [], "v", {"m": 0.25}).collect()
+    values = [v for _, v in rows if v is not None]
+    assert len(everything) == 1 and everything[0].n == len(values) and np.isclose(everything[0].m, np.quantile(values, 0.25))
+    assert ordered.exact_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
+
+
 def test_unique_rank_with_a_hot_score(spark):
     df = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id").cast("double")).alias("s"))
     rows = ordered.unique_rank(df, "s", "id").toPandas().sort_values(["s", "id"], ascending=[False, True])
