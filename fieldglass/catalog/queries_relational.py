@@ -13,7 +13,7 @@ from fieldglass.operators import filters, joins, ordered, shape
 from fieldglass.operators.filters import FilterDefinition as Filter
 from fieldglass.operators.ranges import outside_ranges
 from fieldglass.plans import gold
-from fieldglass.session import literal_table
+from fieldglass.session import cut_lineage, literal_table
 
 LINE = ["l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 LINE_SQL = ", ".join(LINE)
@@ -655,6 +655,28 @@ def _(t):
     return shape.group_small_series(t.part.groupBy("p_type", "p_brand").agg(F.count("*").alias("parts")), "p_type", "p_brand", "parts")
 
 
+_SERIES = """WITH b AS (SELECT p_type, p_brand, COUNT(*) AS parts FROM part GROUP BY 1, 2), top AS (SELECT p_brand FROM b GROUP BY 1 ORDER BY p_brand = 'Brand#11' DESC, MAX(parts) DESC, 1 LIMIT 6)"""
+
+
+def _part_series(t):
+    return t.part.groupBy("p_type", "p_brand").agg(F.count("*").alias("parts"))
+
+
+@query("t6_series_preserve", f"{_SERIES} SELECT p_type, CASE WHEN p_brand IN (FROM top) THEN p_brand ELSE 'Other' END AS p_brand, SUM(parts)::BIGINT AS parts FROM b GROUP BY 1, 2")
+def _(t):
+    return shape.group_small_series(_part_series(t), "p_type", "p_brand", "parts", preserve=("Brand#11",))
+
+
+@query("t6_visible_subset", f"""{_SERIES}, v AS (SELECT *, p_brand IN (FROM top) AS lead, p_brand LIKE '%2' OR p_brand LIKE '%3' AS shown FROM b)
+  SELECT p_type, p_brand, parts FROM v WHERE lead UNION ALL SELECT p_type, 'Other', COALESCE(SUM(parts) FILTER (shown), 0)::BIGINT FROM v WHERE NOT lead GROUP BY 1""")
+def _(t):
+    """A grouping kept as a table and applied to a view that shows only brands ending in 2 or 3."""
+    series = _part_series(t)
+    state = cut_lineage(shape.grouping_state(series, "p_type", "p_brand", "parts", preserve=("Brand#11",)))
+    visible = [f"Brand#{i}" for i in range(1, 60) if i % 10 in (2, 3)]
+    return shape.apply_grouping(series, state, "p_type", "p_brand", "parts", visible)
+
+
 @query("t7_nulls_last", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS v FROM orders ORDER BY v DESC NULLS LAST, o_orderkey")
 def _(t):
     return t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("v")).orderBy(F.col("v").desc_nulls_last(), "o_orderkey")
@@ -666,6 +688,22 @@ def _(t):
     return counted.withColumn("place", shape.weekday_number(F.col("day")).cast("int")).orderBy("place")
 
 
+@query("t8_order_evidence", """WITH d AS (SELECT dayname(ts) AS label, COUNT(*) AS n FROM events GROUP BY 1), w AS (SELECT dayname(ts) AS label, COUNT(*) AS n FROM events GROUP BY 1, CAST(ts AS DATE)),
+  i AS (SELECT strftime(ts, '%Y-%m-%d') AS label, COUNT(*) AS n FROM events GROUP BY 1)
+  SELECT 'weekdays' AS kind, label, n, CAST(list_position(['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'], label) - 1 AS BIGINT) AS place FROM d
+  UNION ALL SELECT 'repeated', label, n, NULL FROM w UNION ALL SELECT 'dates', label, n, CAST(epoch_ms(CAST(label AS TIMESTAMP)) AS BIGINT) FROM i
+  UNION ALL SELECT 'stated', label, n, CAST(COALESCE(list_position(['Sunday', 'Friday'], label) - 1, 2) AS BIGINT) FROM d UNION ALL SELECT 'mixed', label, n, NULL FROM d UNION ALL SELECT 'mixed', label, n, NULL FROM i""")
+def _(t):
+    """The order key of five axes: weekday names, repeated ones, dates, a stated list, and names mixed with dates."""
+    name, day = F.date_format("ts", "EEEE").alias("label"), F.date_format("ts", "yyyy-MM-dd")
+    days = t.events.groupBy(name).agg(F.count("*").alias("n"))
+    weeks = t.events.groupBy(name, F.to_date("ts").alias("d")).agg(F.count("*").alias("n")).select("label", "n")
+    dates = t.events.groupBy(day.alias("label")).agg(F.count("*").alias("n"))
+    axes = {"weekdays": (days, None), "repeated": (weeks, None), "dates": (dates, None), "stated": (days, ["Sunday", "Friday"]), "mixed": (days.unionByName(dates), None)}
+    out = [shape.calendar_place(rows, "label", stated).withColumn("kind", F.lit(kind)) for kind, (rows, stated) in axes.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
 @query("t9_evenly_spaced_ticks", """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), r AS (SELECT day, ROW_NUMBER() OVER (ORDER BY day) AS position, COUNT(*) OVER () AS n FROM d)
   SELECT day, position FROM r WHERE (position - 1) % CAST(ceil(n / 6) AS BIGINT) = 0""")
 def _(t):

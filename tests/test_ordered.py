@@ -144,6 +144,47 @@ def test_group_small_refuses_repeated_and_other(spark):
     assert kept == {"a", "j", "i", "Other"}
 
 
+def test_series_keep_their_grouping_in_a_filtered_view(spark):
+    plans = [f"Plan {i}" for i in range(8)]
+    rows = [(day, plan, (8 - i) * (d + 1)) for d, day in enumerate(("2026-08-18", "2026-08-19")) for i, plan in enumerate(plans)]
+    df = spark.createDataFrame(rows, "period string, plan string, users long")
+    got = {(r.period, r.plan): r.users for r in shape.group_small_series(df, "period", "plan", "users").collect()}
+    assert len(got) == 14 and got["2026-08-18", "Other"] == 3 and got["2026-08-19", "Other"] == 6
+    kept = {r.plan for r in shape.group_small_series(df, "period", "plan", "users", preserve=("Plan 7",)).collect()}
+    assert "Plan 7" in kept and "Plan 5" not in kept and len(kept) == 7
+    state = shape.grouping_state(df, "period", "plan", "users")
+    assert {r.plan for r in state.where("is_other").collect()} == {"Plan 6", "Plan 7"}
+    for visible, other in ((["Plan 0", "Plan 7"], 1), (["Plan 0"], 0), ([], 0), (None, 3)):
+        view = {(r.period, r.plan): r.users for r in shape.apply_grouping(df, state, "period", "plan", "users", visible).collect()}
+        assert view["2026-08-18", "Other"] == other and view["2026-08-18", "Plan 0"] == 8 and len(view) == 14
+    # Nothing is folded: room for all, too many preserved, a rate, a repeated pair, a missing period, a negative value.
+    same = lambda rows, **more: sorted(map(tuple, shape.group_small_series(rows, "period", "plan", "users", **more).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert same(df, keep=8) and same(df, preserve=tuple(plans[:7]))
+    for extra in (("2026-08-18", "Plan 0", 1), (None, "Plan 0", 1), ("2026-08-20", "Plan 0", -1), ("2026-08-20", "other", 1)):
+        assert same(df.union(spark.createDataFrame([extra], df.schema)))
+    rate = df.withColumnRenamed("users", "adoptionRate")
+    assert shape.group_small_series(rate, "period", "plan", "adoptionRate").count() == 16
+
+
+def test_order_evidence_of_an_axis(spark):
+    places = lambda labels, **more: [r.place for r in shape.calendar_place(spark.createDataFrame([(i, v) for i, v in enumerate(labels)], "i int, v string"), "v", **more).orderBy("i").collect()]
+    assert places(["Tue", "monday", "Sun."]) == [1, 0, 6]
+    assert places(["Tue", "Mon", "Tue"]) == [None] * 3 and places(["Tue", None]) == [None] * 2
+    assert places(["2026-03", "2025-12"]) == [1772323200000, 1764547200000]
+    assert places(["2026-03-01T06:00:00", "2026-02-28"]) == [1772344800000, 1772236800000]
+    assert places(["2026-03", "Mon"]) == [None] * 2 and places(["2026-13", "2026-01"]) == [None] * 2
+    assert places(["b", "x", "a"], explicit=["a", "b"]) == [1, 2, 0]
+    assert places(["Tue", "Mon"], sort_order="original") == [None] * 2
+    assert places(["a", "b"], explicit=["b", "a"], sort_order="ascending") == [None] * 2
+
+
+def test_grid_with_null_axes_and_empty_tables(spark):
+    df = spark.createDataFrame([("a", 1, 5.0), ("b", 2, 6.0), (None, 2, 7.0), ("a", None, 8.0)], "x string, y int, v double")
+    got = sorted(((r.x, r.y, r.v, r.missing) for r in shape.densify(df, "x", "y", "v").collect()), key=str)
+    assert got == sorted([("a", 1, 5.0, False), ("a", 2, 0.0, True), ("b", 1, 0.0, True), ("b", 2, 6.0, False), (None, 1, 0.0, True), (None, 2, 0.0, True)], key=str)
+    assert shape.densify(df.limit(0), "x", "y", "v").count() == 0
+
+
 def test_isolated_points_in_a_hot_and_a_null_key(spark):
     from fieldglass.operators.shape import isolated_points
 
