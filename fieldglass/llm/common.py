@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # Words are runs of anything but these six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
+ONE_TASK = 500_000  # edges that a task may hold, 8 MB
 _LOCAL: dict[str, str] = {}
 _REACHED: set[str] = set()
 
@@ -87,16 +88,37 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _least_reached(batches):
+    """(a, b) of each node of the batches' edges and the least node it is connected with, itself left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    parts = [np.stack([batch.column(i).to_numpy() for i in (0, 1)]) for batch in batches]
+    nodes, place = np.unique(np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), dtype=np.int64), return_inverse=True)
+    left, right = place.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while (label[left] != label[right]).any():
+        a, b = label[left], label[right]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    other = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[label[other]])], ["a", "b"])
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """Connected components of long pairs (a, b): rows (a, b) with b the least node that a reaches.
 
     Large-star and small-star rounds in turn: every round keeps connectivity, needs at most one
     row per edge and halves distances, so rounds grow with the logarithm of the node count.  The
-    least nodes themselves have no row.  Rounds are written to the shared folder.
+    least nodes themselves have no row.  Rounds are written to the shared folder.  Once at most
+    `one_task` edges are left a single task finishes them.
     """
     edges = store(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
     seen = _digest(edges)
     while seen[0]:
+        if seen[0] <= one_task:
+            return store(edges.coalesce(1).mapInArrow(_least_reached, "a long, b long"))
         edges = store(_star(_star(edges, True), False))
         now = _digest(edges)
         if now == seen:

@@ -72,7 +72,9 @@ def test_messy_and_empty_inputs(spark, messy, labels):
 def test_components_are_exact(spark):
     random = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in random.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]
-    got = {r.a: r.b for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = {r.a: r.b for r in components(frame).collect()}
+    assert got == {r.a: r.b for r in components(frame, one_task=0).collect()} and components(frame.limit(0)).count() == 0
     root = {x: x for e in edges for x in e}
 
     def find(x):
