@@ -412,6 +412,31 @@ def hitter_radar(t):
     return hitters.radar(stats, skill, p, cutoff())
 
 
+_SAMPLES = """s AS (SELECT l_suppkey, l_suppkey % 7 <> 0 AS active, COUNT(*) FILTER (l_quantity > 47) AS pa_30, COUNT(*) FILTER (l_quantity > 47 AND l_partkey % 25 <> 0) AS statcast_pa_30, COUNT(*) - 450 AS pa_season,
+  COUNT(DISTINCT month(l_shipdate)) FILTER (l_quantity > 49) AS team_games_14, CASE WHEN l_suppkey % 11 <> 0 THEN AVG(l_tax) * 50 END AS pace, MAX(CAST(l_shipdate AS DATE)) AS last_seen FROM lineitem GROUP BY l_suppkey)"""
+
+
+@query("p20_hitter_eligibility", f"""WITH {_SAMPLES} SELECT l_suppkey, COALESCE(active AND pa_30 >= 30 AND pa_season >= 100 AND team_games_14 >= 5 AND COALESCE(pace, 0) >= 2
+  AND (SELECT MAX(last_seen) FROM s) - last_seen <= 4 AND COALESCE(statcast_pa_30 / NULLIF(pa_30, 0), 0) BETWEEN 0.95 AND 1.05, FALSE) AS eligible FROM s""")
+def _(t):
+    """The product's own rule over supplier samples: every condition decides some rows."""
+    late = F.col("l_quantity") > 47
+    s = t.lineitem.groupBy("l_suppkey").agg(
+        F.count_if(late).alias("pa_30"), F.count_if(late & (F.col("l_partkey") % 25 != 0)).alias("statcast_pa_30"), (F.count("*") - 450).alias("pa_season"),
+        F.count_distinct(F.when(F.col("l_quantity") > 49, F.month("l_shipdate"))).alias("team_games_14"), (F.avg("l_tax") * 50).alias("pace"), F.max(F.to_date("l_shipdate")).alias("last_seen"))
+    s = s.withColumn("pa_per_team_game_14", F.when(F.col("l_suppkey") % 11 != 0, F.col("pace")))
+    last = t.lineitem.agg(F.max(F.to_date("l_shipdate"))).scalar()
+    return s.withColumn("cutoff", last).select("l_suppkey", hitters.eligible(F.col("l_suppkey") % 7 != 0, F.col("cutoff")).alias("eligible"))
+
+
+@query("p25_open_games", """SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01' AND NOT COALESCE(CASE o_orderstatus WHEN 'O' THEN FALSE WHEN 'F' THEN TRUE END, FALSE)""")
+def _(t):
+    """The product's own rule: a stated or missing start flag, and a start after now."""
+    flag = F.when(F.col("o_orderstatus") == "O", False).when(F.col("o_orderstatus") == "F", True)
+    games = t.orders.select("o_orderkey", flag.alias("time_tbd"), F.col("o_orderdate").alias("starts_at_utc"))
+    return hitters.open_games(games, F.lit("1997-01-01 00:00:00").cast("timestamp")).select("o_orderkey")
+
+
 @query("x4_hitter_radar")
 def _(t):
     return hitter_radar(t)

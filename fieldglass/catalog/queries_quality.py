@@ -69,6 +69,16 @@ def _(t):
     return quality.history_checks(cut_lineage(mart), "target_whiff", _mart_entities(history.WHIFF))
 
 
+_COVERED = {"release_speed": 0.99, "zone": 0.99, "launch_speed": 0.5, "pitcher_id": 1.0, "pitch_type": 1.0}
+
+
+@query("q10_coverage_thresholds", f"""{BIND}, c AS (SELECT {', '.join(f"COUNT({c}) / COUNT(*) >= {m} AS {c}" for c, m in _COVERED.items())} FROM fact) """
+       + " UNION ALL ".join(f"SELECT '{c}_coverage_at_least_{100 * m:g}_percent' AS check_name, CASE WHEN {c} THEN 'PASS' ELSE 'FAIL' END AS status, CAST({c} AS VARCHAR) AS observed, 'true' AS expected FROM c" for c, m in _COVERED.items()))
+def _(t):
+    """Shares of known values against their minimums: some columns reach them, others fail."""
+    return quality.coverage_checks(t.fact, _COVERED)
+
+
 @query("q14_grain_unique", "SELECT l_orderkey, l_linenumber, COUNT(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1")
 def _(t):
     return quality.grain_violations(t.lineitem, ["l_orderkey", "l_linenumber"])

@@ -55,6 +55,12 @@ def fact_checks(fact: DataFrame) -> DataFrame:
     })
 
 
+def coverage_checks(df: DataFrame, minimums: dict[str, float]) -> DataFrame:
+    """One check per column: its share of known values reaches the minimum.  An empty table fails."""
+    share = lambda name: F.count(name) / F.nullif(F.count("*"), F.lit(0))
+    return check_table(df, {f"{name}_coverage_at_least_{100 * least:g}_percent": share(name) >= F.lit(least) for name, least in minimums.items()})
+
+
 def scope_checks(fact: DataFrame, ranges: DataFrame) -> DataFrame:
     seasons = ranges.select("season").distinct()
     return all_checks([
