@@ -69,6 +69,36 @@ def _(t):
     return quality.history_checks(cut_lineage(mart), "target_whiff", _mart_entities(history.WHIFF))
 
 
+def _violations_sql() -> str:
+    checks = {
+        "target_is_binary": "(SELECT COUNT(*) = 0 FROM m WHERE target IS NULL OR target NOT IN (0, 1))",
+        "user_row_count_bounded": "(SELECT COUNT(*) = 0 FROM m WHERE seen NOT BETWEEN 0 AND 30)", "kind_row_count_bounded": "(SELECT COUNT(*) = 0 FROM m WHERE day_no NOT BETWEEN 0 AND 40)",
+        "change_non_negative": "(SELECT COUNT(*) = 0 FROM m WHERE change < 0)", "day_no_2_non_negative": "(SELECT COUNT(*) = 0 FROM m WHERE day_no_2 < 0)",
+        "rate_is_probability": "(SELECT COUNT(*) = 0 FROM m WHERE rate NOT BETWEEN 0 AND 1)", "day_rate_is_probability": "(SELECT COUNT(*) = 0 FROM m WHERE day_rate NOT BETWEEN 0 AND 1)",
+    }
+    for name, key, columns in (("user", "user_id", ["seen", "change", "rate"]), ("kind", "event_type", ["day_no", "day_no_2", "day_rate"])):
+        distinct = " OR ".join(f"COUNT(DISTINCT {c}) > 1 OR COUNT({c}) NOT IN (0, COUNT(*))" for c in columns)
+        checks[f"{name}_history_constant_in_game"] = f"(SELECT COUNT(*) = 0 FROM (SELECT 1 FROM m GROUP BY {key}, game_pk HAVING {distinct}))"
+        firsts = ", ".join(f"MAX({c}) AS {c}" for c in columns)
+        checks[f"{name}_first_game_has_no_history"] = (
+            f"(SELECT COUNT(*) = 0 FROM (SELECT {key}, {firsts} FROM m GROUP BY {key}, game_pk QUALIFY ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY game_pk) = 1) "
+            f"WHERE NOT ({columns[0]} = 0 AND {columns[1]} = 0 AND {columns[2]} IS NULL))")
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS check_name, {value} AS ok" for name, value in checks.items())
+    return f"""WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, dayofyear(ts) AS game_pk FROM events),
+  m AS (SELECT user_id, event_type, game_pk, k % 3 AS target, k % 40 AS seen, k - 5 AS change, value / 200 AS rate, game_pk - 1 AS day_no, (game_pk - 1) * 2 AS day_no_2, CASE WHEN game_pk > 1 THEN 1 / game_pk::DOUBLE END AS day_rate FROM e)
+  SELECT check_name, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS status, CAST(ok AS VARCHAR) AS observed, 'true' AS expected FROM ({rows})"""
+
+
+@query("q7_q13_history_violations", _violations_sql())
+def _(t):
+    """The history rules over events: one entity breaks them, another, whose columns grow by the day, keeps them."""
+    day = F.dayofyear("ts").cast("bigint")
+    mart = t.ev.select(
+        "user_id", "event_type", day.alias("game_pk"), F.to_date("ts").alias("game_datetime_utc"), (F.col("k") % 3).alias("target"), (F.col("k") % 40).alias("seen"),
+        (F.col("k") - 5).alias("change"), (F.col("value") / 200).alias("rate"), (day - 1).alias("day_no"), ((day - 1) * 2).alias("day_no_2"), F.when(day > 1, 1 / day).alias("day_rate"))
+    return quality.history_checks(mart, "target", {"user": (["user_id"], 30, ["seen", "change"], ["rate"]), "kind": (["event_type"], 40, ["day_no", "day_no_2"], ["day_rate"])})
+
+
 _COVERED = {"release_speed": 0.99, "zone": 0.99, "launch_speed": 0.5, "pitcher_id": 1.0, "pitch_type": 1.0}
 
 

@@ -188,6 +188,9 @@ fact AS (
 RAW = f"WITH {RAW_SQL}, {RANGES_SQL}"
 BIND = f"WITH {RAW_SQL}, {RANGES_SQL}, {FACT_SQL}, {_CONTEXT_SQL}"
 
+# Schemas of tables seen by this process: a stated schema spares the footer read of every later query.
+_SCHEMAS: dict = {}
+
 
 class Tables:
     """Lazy access to the tables of one scale-factor folder and to the pitch binding."""
@@ -198,7 +201,10 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in NAMES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            path = f"{self.folder}/{name}.parquet"
+            if path not in _SCHEMAS:
+                _SCHEMAS[path] = self.spark.read.parquet(path).schema
+            return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
         raise AttributeError(name)
 
     @cached_property
