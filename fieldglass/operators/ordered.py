@@ -228,6 +228,7 @@ def average_rank_share(df: DataFrame, value: str, names: dict[str, bool]) -> Dat
 _SKETCH = 10_000  # accuracy of the first guess
 _SMALL = 4_096  # keys of so many rows need no guess
 _WINDOW = 200_000  # counted values of one key and fraction that one task may order
+_FEW_KEYS = 4_096  # ranges of so many keys are sent to every task
 
 
 def exact_quantiles(
@@ -239,7 +240,8 @@ def exact_quantiles(
     key bounds each quantile from both sides, three times wider than its error.  Rows below the range are
     counted, rows inside it are counted by value, and the ranks are looked up there; keys of few rows are
     inside as a whole.  What is inside is split by order buckets if it is more than a task should order.
-    A range that missed its rank would stop the job instead of giving a wrong value.
+    Rows meet the ranges without being sorted by key: ranges of few keys are broadcast, otherwise those of hot
+    keys are, so no task holds the rows of a busy key.  A range that missed its rank would stop the job instead of giving a wrong value.
     """
     own, names = keys or ["__all"], list(fractions)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, *([] if keys else [F.lit(1).alias("__all")]), F.col(value).cast("double").alias("__v"))
@@ -255,7 +257,10 @@ def exact_quantiles(
     whole = F.array(F.struct(F.lit(-1).alias("tag"), F.col("__min").alias("lo"), F.col("__max").alias("hi")))
     ranges = cut_lineage(stats.select(*own, "n", F.when(F.col("n") <= _SMALL, whole).otherwise(F.array(*ranges)).alias("__r")))
 
-    met = join_null_safe(rows, ranges, own)
+    if ranges.count() <= _FEW_KEYS:
+        met = join_null_safe(rows, F.broadcast(ranges), own)
+    else:
+        met = lookup_by_value(rows, ranges.withColumn("peers", F.col("n")), own, ["n", "__r"])
     inside = met.select(*own, "__v", F.explode(F.filter("__r", lambda r: (F.col("__v") >= r["lo"]) & (F.col("__v") <= r["hi"]))["tag"]).alias("__tag"))
     counted = cut_lineage(inside.groupBy(*own, "__tag", "__v").agg(F.count(F.lit(1)).alias("peers")))
     most = counted.groupBy(*own, "__tag").count().agg(F.max("count")).first()[0] or 0

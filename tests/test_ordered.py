@@ -78,6 +78,25 @@ def test_quantiles_of_large_small_and_null_keys(spark, monkeypatch):
     assert ordered.exact_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
 
 
+def test_quantiles_do_not_sort_a_busy_key(spark, monkeypatch):
+    rows = [("hot", float(v % 977)) for v in range(9_000)] + [(f"k{v % 50}", float(v)) for v in range(1_500)] + [(None, float(v)) for v in range(600)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (10 ** 6, 3):  # all ranges are broadcast, and those of hot keys alone
+            monkeypatch.setattr(ordered, "_FEW_KEYS", few, raising=False)
+            out = ordered.exact_quantiles(df, ["k"], "v", {"m": 0.37})
+            assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+            got = {r.k: (r.n, r.m) for r in out.collect()}
+            assert len(got) == 52
+            for key, (n, m) in got.items():
+                values = [v for k, v in rows if k == key]
+                assert n == len(values) and np.isclose(m, np.quantile(values, 0.37))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_unique_rank_with_a_hot_score(spark):
     df = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id").cast("double")).alias("s"))
     rows = ordered.unique_rank(df, "s", "id").toPandas().sort_values(["s", "id"], ascending=[False, True])
