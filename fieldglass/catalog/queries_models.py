@@ -10,7 +10,7 @@ from fieldglass.catalog.tables import BIND
 from fieldglass.functions import flags as fl
 from fieldglass.plans import boosting, forecast, modeling
 from fieldglass.plans.modeling import Boundaries
-from fieldglass.session import literal_table
+from fieldglass.session import cut_lineage, literal_table
 
 BOUNDS = Boundaries("2024-01-12", "2024-01-13", "2024-01-22", "2024-01-30")
 MODELS = ["constant", "line", "steep"]
@@ -185,6 +185,11 @@ def _training_rows(t):
         "l_linestatus", F.concat(F.lit("S"), (F.col("l_suppkey") % 50).cast("string")).alias("supplier_group"), F.year("l_shipdate").alias("year"))
 
 
+def _later(model, test):
+    """Labels and scores of later rows, written once: the metrics read them several times."""
+    return cut_lineage(model.score(test, "p").select("label", "p"))
+
+
 _NUMBERS, _CATEGORIES = ["l_quantity", "l_tax", "l_discount"], ["l_linestatus", "supplier_group"]
 _ROWS = """r AS (SELECT (l_quantity + l_partkey % 20 + CASE WHEN l_linestatus = 'F' THEN 5 ELSE 0 END > 38)::INTEGER AS y, CAST(l_quantity AS DOUBLE) AS q, CASE WHEN l_tax > 0 THEN CAST(l_tax AS DOUBLE) END AS raw_tax,
   CAST(l_discount AS DOUBLE) AS d, l_linestatus AS status, 'S' || CAST(l_suppkey % 50 AS VARCHAR) AS supplier, year(l_shipdate) < 1999 AS train FROM lineitem),
@@ -213,7 +218,7 @@ def _(t):
     """Coefficients of two numbers, one with missing values, and the log loss of later rows."""
     rows = _training_rows(t)
     model = modeling.fit_logistic(rows.filter(F.col("year") < 1999), "label", ["l_quantity", "l_tax"], [])
-    loss = modeling.evaluate(model.score(rows.filter(F.col("year") >= 1999), "p"), [], "label", "p").select(F.lit("test_log_loss").alias("term"), F.col("log_loss").alias("value"))
+    loss = modeling.evaluate(_later(model, rows.filter(F.col("year") >= 1999)), [], "label", "p").select(F.lit("test_log_loss").alias("term"), F.col("log_loss").alias("value"))
     terms = literal_table(rows.sparkSession, list(model.coefficients().items()), "term string, value double")
     return rounded(terms.unionByName(loss), "value")
 
@@ -250,7 +255,7 @@ def _(t):
     model = modeling.fit_boosting(train, "label", _NUMBERS, _CATEGORIES, settings)
     cuts = [(i + 1, model.binning.columns[tree.column[0]], tree.rows[1], float(tree.gain[0])) for i, tree in enumerate(model.trees)]
     chosen = literal_table(t.spark, cuts, "round int, feature string, left_rows bigint, gain double").withColumn("gain", F.round("gain", 4))
-    loss = modeling.evaluate(model.score(test, "p"), [], "label", "p")
+    loss = modeling.evaluate(_later(model, test), [], "label", "p")
     return chosen.unionByName(loss.select(F.lit(_STUMPS + 1).alias("round"), F.lit("test_log_loss").alias("feature"), F.col("rows").alias("left_rows"), F.round("log_loss", 6).alias("gain")))
 
 
@@ -261,7 +266,7 @@ def _(t):
     train, test = rows.filter(F.col("year") < 1999), rows.filter(F.col("year") >= 1999)
     model = modeling.fit_boosting(train, "label", _NUMBERS, _CATEGORIES)
     shape = {"trees": len(model.trees), "most_leaves": max(((len(tree.column) + 1) // 2 for tree in model.trees), default=0)}
-    scored = modeling.evaluate(model.score(test, "p"), [], "label", "p").select("rows", "log_loss", "roc_auc", "expected_calibration_error")
+    scored = modeling.evaluate(_later(model, test), [], "label", "p").select("rows", "log_loss", "roc_auc", "expected_calibration_error")
     return scored.withColumns({name: F.lit(n) for name, n in shape.items()})
 
 

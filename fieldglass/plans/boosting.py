@@ -7,8 +7,9 @@ for the histograms of the smaller child of each pair; the other is the parent's
 
 Rounds are Spark jobs: every task adds up gradients and curvatures per (node, column, bin) of its rows, and
 the sums of all tasks come back as at most leaves x columns x 256 cells.  Scores of finished trees are
-written every few trees, so a round replays only the trees since then.  A table of at most `TASK_CELLS`
-cells is one task's share; there the same rounds run inside that task, with the same sums.
+written every few trees, so a round replays only the trees since then.  Rows that are coded alike and share label
+and held-out mark are one weighted row, as no sum can tell them apart.  A table of at most `TASK_CELLS` cells of
+such rows is one task's share; there the same rounds run inside that task, with the same sums.
 """
 
 from __future__ import annotations
@@ -128,9 +129,9 @@ class Tree:
             self.gain.append(0.0)
         return first, first + 1
 
-    def route(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of each row."""
-        node = np.zeros(len(bins), dtype=np.int64)
+    def route(self, bins: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+        """The leaf of each row, from the root or from the nodes that `node` holds (changed in place)."""
+        node = np.zeros(len(bins), dtype=np.int64) if node is None else node
         column, child = np.array(self.column), np.array(self.child)
         left = np.array([np.zeros(BINS, dtype=bool) if side is None else side for side in self.left])
         rows = np.flatnonzero(column[node] >= 0)
@@ -143,15 +144,21 @@ class Tree:
 
 
 class Block:
-    """Rows in memory: bins, labels, held-out marks and scores so far."""
-
-    def __init__(self, bins: np.ndarray, label: np.ndarray, held: np.ndarray, score: np.ndarray):
-        self.bins, self.label, self.held, self.score = bins, label, held, score
+    """Rows in memory: bins, labels, held-out marks, weights and scores so far."""
+
+    def __init__(self, bins: np.ndarray, label: np.ndarray, held: np.ndarray, weight: np.ndarray, score: np.ndarray):
+        self.bins, self.label, self.held, self.weight, self.score = bins, label, held, weight, score
+        # What histograms read: training rows, a column at a time, and the node that each has reached.
+        self.train = np.flatnonzero(~held)
+        self.own = bins[self.train]
+        self.by_column = np.ascontiguousarray(self.own.T)
+        self.tree, self.node = None, None
         self.gradients()
 
     def gradients(self):
-        p = 1 / (1 + np.exp(-self.score))
-        self.gradient, self.curvature = p - self.label, p * (1 - p)
+        p = 1 / (1 + np.exp(-self.score[self.train]))
+        weight = self.weight[self.train]
+        self.sums = [weight * (p - self.label[self.train]), weight * p * (1 - p), weight]
 
     def add(self, tree: Tree):
         self.score = self.score + np.array(tree.value)[tree.route(self.bins)]
@@ -161,20 +168,22 @@ class Block:
         """Summed log loss and count of the held-out rows."""
         kept = self.held
         sign = np.where(self.label[kept] > 0.5, -1.0, 1.0)
-        return np.array([np.logaddexp(0.0, sign * self.score[kept]).sum(), kept.sum()], dtype=float)
+        return np.array([(self.weight[kept] * np.logaddexp(0.0, sign * self.score[kept])).sum(), self.weight[kept].sum()], dtype=float)
 
     def histograms(self, tree: Tree, wanted: list[int]) -> np.ndarray:
-        """(node, column, bin, [gradient, curvature, rows]) of the wanted nodes."""
-        columns = self.bins.shape[1]
+        """(node, column, bin, [gradient, curvature, rows]) of the wanted nodes; a tree that grew is walked on from there."""
+        if self.tree is not tree:
+            self.tree, self.node = tree, np.zeros(len(self.train), dtype=np.int64)
         slot = np.full(len(tree.column), -1)
         slot[wanted] = np.arange(len(wanted))
-        at = slot[tree.route(self.bins)]
-        rows = np.flatnonzero((at >= 0) & ~self.held)
-        at, out = at[rows], np.zeros((len(wanted), columns, BINS, 3))
-        for k in range(columns):
-            cell = at * BINS + self.bins[rows, k]
-            for m, weights in enumerate((self.gradient[rows], self.curvature[rows], None)):
-                out[:, k, :, m] = np.bincount(cell, weights, minlength=len(wanted) * BINS).reshape(len(wanted), BINS)
+        at = slot[tree.route(self.own, self.node)]
+        rows = np.flatnonzero(at >= 0)
+        at, out = at[rows] * BINS, np.zeros((len(wanted), len(self.by_column), BINS, 3))
+        sums = [values[rows] for values in self.sums]
+        for k, column in enumerate(self.by_column):
+            cell = at + column[rows]
+            for m, values in enumerate(sums):
+                out[:, k, :, m] = np.bincount(cell, values, minlength=len(wanted) * BINS).reshape(len(wanted), BINS)
         return out
 
 
@@ -198,17 +207,18 @@ def _blocks(batches, trees: list[Tree]):
     for frame in batches:
         if len(frame):
             bins = np.frombuffer(b"".join(frame["bins"]), dtype=np.uint8).reshape(len(frame), -1)
-            block = Block(bins, frame["label"].to_numpy(dtype=float), frame["held"].to_numpy(dtype=bool), frame["score"].to_numpy(dtype=float))
+            block = Block(bins, frame["label"].to_numpy(dtype=float), frame["held"].to_numpy(dtype=bool),
+                          frame["weight"].to_numpy(dtype=float), frame["score"].to_numpy(dtype=float))
             for tree in trees:
                 block.add(tree)
             yield frame, block
 
 
 class AcrossTasks:
-    """Rounds as Spark jobs over (bins, label, held, score)."""
+    """Rounds as Spark jobs over (bins, label, held, weight, score)."""
 
-    def __init__(self, rows: DataFrame):
-        self.rows, self.trees = rows, []
+    def __init__(self, rows: DataFrame, width: int):
+        self.rows, self.width, self.trees, self.root = rows, width, [], None
 
     def _summed(self, of) -> dict[int, np.ndarray]:
         trees = list(self.trees)
@@ -227,18 +237,23 @@ class AcrossTasks:
         return found["cell"].to_numpy(dtype=np.int64), found[["a", "b", "c"]].to_numpy(dtype=float)
 
     def histograms(self, tree: Tree, wanted: list[int]) -> np.ndarray:
-        width = len(self.rows.select("bins").first()["bins"]) if not hasattr(self, "width") else self.width
-        self.width = width
+        if wanted == [0] and self.root is not None:
+            return self.root
         cells, sums = self._summed(lambda block: block.histograms(tree, wanted).reshape(-1, 3))
-        out = np.zeros((len(wanted) * width * BINS, 3))
+        out = np.zeros((len(wanted) * self.width * BINS, 3))
         out[cells] = sums
-        return out.reshape(len(wanted), width, BINS, 3)
+        return out.reshape(len(wanted), self.width, BINS, 3)
 
     def loss(self) -> np.ndarray:
-        _, sums = self._summed(lambda block: np.array([[*block.loss(), 1.0]]))
-        return sums[0, :2] if len(sums) else np.zeros(2)
+        """The loss, and in the same job the first histograms of the next tree."""
+        cells, sums = self._summed(lambda block: np.vstack([[[*block.loss(), 0.0]], block.histograms(Tree(), [0]).reshape(-1, 3)]))
+        out = np.zeros((1 + self.width * BINS, 3))
+        out[cells] = sums
+        self.root = out[1:].reshape(1, self.width, BINS, 3)
+        return out[0, :2]
 
     def add(self, tree: Tree):
+        self.root = None
         self.trees.append(tree)
         if len(self.trees) >= _KEPT_TREES:
             trees = list(self.trees)
@@ -247,7 +262,7 @@ class AcrossTasks:
                 for frame, block in _blocks(batches, trees):
                     yield frame.assign(score=block.score)
 
-            self.rows, self.trees = cut_lineage(self.rows.mapInPandas(run, "bins binary, label double, held boolean, score double")), []
+            self.rows, self.trees = cut_lineage(self.rows.mapInPandas(run, "bins binary, label double, held boolean, weight double, score double")), []
 
 
 def split_gains(sums: np.ndarray, categorical: bool, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -372,7 +387,7 @@ class BoostedModel:
 
 
 def coded(train: DataFrame, label: str, binning: Binning, settings: Settings) -> tuple[DataFrame, int, float]:
-    """(bins, label, held, score) of rows with a label, their number, and the starting score."""
+    """(bins, label, held, weight, score) of rows with a label, how many of these there are, and the starting score."""
     draw = F.pmod(F.xxhash64(*binning.sources(), F.lit(settings.seed)), F.lit(10_000)) / 10_000
     held = (draw < settings.holdout) if settings.patience is not None else F.lit(False)
 
@@ -383,9 +398,11 @@ def coded(train: DataFrame, label: str, binning: Binning, settings: Settings) ->
     labelled = train.where(F.col(label).isNotNull())
     rows = labelled.select(bins(*binning.sources()).alias("bins"), F.col(label).cast("double").alias("label"), held.alias("held"))
     n, rate = labelled.agg(F.count(F.lit(1)), F.avg(F.col(label).cast("double"))).first()
+    rows = rows.groupBy("bins", "label", "held").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     rate = min(max(rate if n else 0.5, 1e-6), 1 - 1e-6)
     start = float(np.log(rate / (1 - rate)))
-    return cut_lineage(rows.withColumn("score", F.lit(start))), n, start
+    rows = cut_lineage(rows.withColumn("score", F.lit(start)))
+    return rows, rows.count(), start
 
 
 def fit(
@@ -399,7 +416,7 @@ def fit(
     if not n or not binning.columns:
         return BoostedModel(binning, [], start)
     if n * len(binning.columns) > task_cells:
-        return BoostedModel(binning, boost(AcrossTasks(rows), len(numeric), settings), start)
+        return BoostedModel(binning, boost(AcrossTasks(rows, len(binning.columns)), len(numeric), settings), start)
     count = len(numeric)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -407,5 +424,5 @@ def fit(
         return pd.DataFrame({"model": [pickle.dumps(boost(InTask(block), count, settings))]})
 
     # At most TASK_CELLS bytes of bins; the rows are sorted, so that sums do not depend on their order.
-    one = rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda f: run(f.sort_values(["bins", "label"], kind="stable")), "model binary")
+    one = rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda f: run(f.sort_values(["bins", "label", "held"], kind="stable")), "model binary")
     return BoostedModel(binning, pickle.loads(one.first()["model"]), start)

@@ -208,3 +208,22 @@ def test_required_columns_and_split_order(spark):
     overlap = frame.select("game_date", F.when(F.col("v") == 2, "train").when(F.col("v") == 1, "validation").otherwise("test").alias("split"))
     with pytest.raises(ValueError, match="before"):
         modeling.check_split(overlap)
+
+
+def test_equal_coded_rows_are_one_weighted_row(spark, monkeypatch):
+    """A table of many copies fits in one task, where rounds as jobs would take one job each."""
+    rows = made_rows(400, seed=3)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    settings = Settings(rounds=3, leaves=6, min_leaf=200, patience=None)
+    copies = frame.crossJoin(spark.range(20)).drop("id")
+    jobs = boosting.fit(copies, "y", ["x", "z"], ["kind"], settings, task_cells=10)
+    monkeypatch.setattr(boosting, "AcrossTasks", None)
+    model = boosting.fit(copies, "y", ["x", "z"], ["kind"], settings, task_cells=400 * 3)
+    assert len(model.trees) == 3 and model.trees[0].rows[0] == 8_000
+    for one, other in zip(model.trees, jobs.trees, strict=True):
+        assert one.column == other.column and one.rows == other.rows and np.allclose(one.value, other.value, atol=1e-10)
+    bins = np.repeat(model.binning.encode([frame.toPandas()[c] for c in model.binning.columns]), 20, axis=0)
+    y, score = np.repeat([r[0] for r in rows], 20), np.full(8_000, model.start)
+    p = 1 / (1 + np.exp(-score))
+    want = sorted(brute_tree(bins, p - y, p * (1 - p), 2, settings).values())
+    assert np.allclose(sorted(v for v, c in zip(model.trees[0].value, model.trees[0].column) if c < 0), want)
