@@ -304,10 +304,16 @@ def _(t):
     return rounded(up.select("game_pk", "pitcher_team", "pitcher_id", "prior_starts", "last_start_date", "predicted_k", "lower_k", "upper_k", "sample_status"), "predicted_k")
 
 
+# Columns of the fact that the radar, its predictions, the appearances and the slots read.
+_COMPARED = ["game_pk", "game_date", "at_bat_number", "pitch_number", "pitcher_id", "pitcher_name", "pitcher_team", "batter_team", "plate_appearance_event",
+             "swing_flag", "whiff_flag", "chase_flag", "in_zone_flag", "batted_ball_flag", "hard_hit_flag", "release_speed", "release_spin_rate"]
+
+
 @query("j16_comparison", f"""{_RADAR_SQL}, {_SLOTS}, {_UPCOMING}, r AS (SELECT pitcher_id, fantasy_signal, rank FROM radar WHERE window_days = 14 AND profile_key = 'roto_balance'),
   n AS (SELECT * FROM made QUALIFY ROW_NUMBER() OVER (PARTITION BY pitcher_id ORDER BY game_datetime_utc) = 1)
   SELECT pitcher_id, round(fantasy_signal, 1) AS fantasy_signal, rank, game_datetime_utc, round(recent_starts, 6) AS predicted_k FROM r FULL JOIN n USING (pitcher_id)""")
 def _(t):
+    t.store_fact(*_COMPARED)
     rows = forecast.appearances(t.stored_fact, t.context).filter(F.col("game_date") <= F.lit("2024-01-28").cast("date"))
     up = forecast.upcoming(slots(t), rows, "2024-01-20", "recent_starts", 1.5, F.lit("2024-01-28 00:00:00").cast("timestamp"))
     both = forecast.comparison(_radar(t), up).select("pitcher_id", F.round("fantasy_signal", 1).alias("fantasy_signal"), "rank", "game_datetime_utc", "predicted_k")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.plans import silver
-from fieldglass.session import cut_lineage, literal_table
+from fieldglass.session import literal_table, written_table
 
 NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -227,7 +227,11 @@ class Tables:
     @cached_property
     def stored_fact(self) -> DataFrame:
         """The fact as a written table, for queries that read it more than once."""
-        return cut_lineage(self.fact)
+        return written_table(self.fact)
+
+    def store_fact(self, *columns: str) -> None:
+        """Write only these columns of the fact, for a query that reads no others."""
+        self.stored_fact = written_table(self.fact.select(*columns))
 
     @cached_property
     def context(self) -> DataFrame:

@@ -10,7 +10,7 @@ from fieldglass.functions.rates import count_bounds, count_where, rate_adjustmen
 from fieldglass.operators.ordered import latest_per_key, value_positions
 from fieldglass.operators.shape import finite
 from fieldglass.plans.modeling import Boundaries
-from fieldglass.session import cut_lineage
+from fieldglass.session import cut_lineage, written_table
 
 MODELS = ["league_mean", "recent_starts", "workload_opponent"]
 RECENT_STARTS = 5
@@ -166,13 +166,18 @@ def with_backtest_split(predictions: DataFrame, boundaries: Boundaries) -> DataF
 
 
 def upcoming(slots: DataFrame, rows: DataFrame, train_end: str, model: str, radius: float, now: Column) -> DataFrame:
-    """Forecasts of confirmed future starts, one per game and team, from the latest state."""
+    """Forecasts of confirmed future starts, one per game and team, from the latest state.
+
+    Appearances (one row per pitcher and game) and open slots are read by several branches, so they are written once.
+    """
+    rows = written_table(rows)
     first = latest_per_key(slots, ["game_pk", "pitcher_team"], [-F.unix_micros(F.col("game_datetime_utc").cast("timestamp"))])
     through = rows.agg(F.max("game_date")).scalar()
     open_slots = first.withColumn("feature_data_through", through).filter(
         (F.col("probable_status") == "Confirmed probable") & F.col("pitcher_id").isNotNull()
         & (F.col("game_datetime_utc") > now) & (F.col("game_date") > F.col("feature_data_through"))
     )
+    open_slots = written_table(open_slots)
     newest = Window.partitionBy("pitcher_id").orderBy(F.col("game_date").desc(), F.col("game_pk").desc(), F.col("pitcher_team").desc())
     recent = rows.filter("is_starter").withColumn("__k", F.row_number().over(newest)).filter(F.col("__k") <= RECENT_STARTS)
     state = recent.groupBy("pitcher_id").agg(
