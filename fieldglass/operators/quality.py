@@ -115,12 +115,15 @@ def history_checks(mart: DataFrame, target: str, entities: dict[str, tuple[list[
         )
         same = reduce(lambda a, b: a & b, [
             (F.col(f"lo_{c}").eqNullSafe(F.col(f"hi_{c}"))) & ((F.col(f"n_{c}") == 0) | (F.col(f"n_{c}") == F.col("n"))) for c in columns])
-        parts.append(check_table(per_game, {f"{name}_history_constant_in_game": never(~same)}))
+        # Both rules come from one pass over the entity-games.
         first = per_game.groupBy(*keys).agg(
+            F.count_if(~same).alias("changed"),
             F.min_by(F.struct(*[F.col(f"hi_{c}").alias(c) for c in counts], *[F.col(f"hi_{r}").alias(r) for r in rates]), F.struct("game_datetime_utc", "game_pk")).alias("f")
         )
         zero = reduce(lambda a, b: a & b, [*[F.col(f"f.{c}") == 0 for c in counts], *[F.col(f"f.{r}").isNull() for r in rates]])
-        parts.append(check_table(first, {f"{name}_first_game_has_no_history": never(~zero)}))
+        parts.append(check_table(first, {
+            f"{name}_history_constant_in_game": never(F.col("changed") > 0), f"{name}_first_game_has_no_history": never(~zero),
+        }))
     return all_checks(parts)
 
 
