@@ -92,9 +92,13 @@ def entity_games(events: DataFrame, entities: list[Entity], label: str, target:
     before = Window.partitionBy(*_WHO).orderBy(F.col("__at").asc_nulls_last(), game).rowsBetween(Window.unboundedPreceding, -1)
     games = games.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__hits": F.coalesce(F.sum("__s").over(before), F.lit(0))})
     moments = Window.partitionBy(*_WHO).orderBy("__at")
+    so_far = moments.rangeBetween(Window.unboundedPreceding, -1)
     for days in sorted({d for e in entities for d in e.days}):
-        frame = moments.rangeBetween(-days * MICROS_PER_DAY, -1)
-        games = games.withColumns({f"__n{days}": F.coalesce(F.sum("__n").over(frame), F.lit(0)), f"__s{days}": F.sum("__s").over(frame)})
+        # Differences of sums from the beginning: a sliding frame would be summed anew at every instant.
+        gone = moments.rangeBetween(Window.unboundedPreceding, -days * MICROS_PER_DAY - 1)
+        n, known, hits = [part.over(so_far) - F.when(F.col("__at").isNull(), F.lit(0)).otherwise(F.coalesce(part.over(gone), F.lit(0)))
+                          for part in (F.sum("__n"), F.count("__s"), F.sum("__s"))]
+        games = games.withColumns({f"__n{days}": F.coalesce(n, F.lit(0)), f"__s{days}": F.when(known > 0, hits)})
     length = F.coalesce(*[F.when(F.col("kind") == i, F.lit(target.rows_of(e)).cast("bigint")) for i, e in enumerate(entities)])
     games = cut_lineage(games.withColumn("__rows", length))
 
