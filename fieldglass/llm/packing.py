@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,34 +26,25 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import store
 
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHE_LIMIT = 600_000
-
-
-class _Pieces(dict):
-    """Ids (little-endian 32-bit) of a chunk that follows one space; emptied when it grows too large."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk):
-        if len(self) >= _CACHE_LIMIT:
-            self.clear()
-        ids = self[chunk] = np.array(self.encode(" " + chunk), dtype="<u4").tobytes()
-        return ids
+# White space other than single spaces and newlines between characters that are none.
+_MIXED = (
+    r"\A[ \n]|[ \n]\z|[ \n]{2}"
+    r"|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+_TOGETHER = 8_000_000  # bytes of the texts encoded together
 
 
 class TextEncoder:
     """Ids of a byte-level BPE tokenizer file, as little-endian 32-bit numbers.
 
     Merges of this kind of file are in id order, so a rank-based encoder gives the same ids faster.
-    A space between two characters that are not white space always begins a pre-token; text is cut
-    there and the ids of each chunk are remembered.  Texts with a special token's string go to the
-    tokenizer itself.
+    A space between two characters that are not white space always begins a pre-token, and a newline
+    there is one; texts are cut there, and the different chunks of all texts at hand are encoded once,
+    in one call.  Texts with other white space are encoded whole, those with a special token's string
+    go to the tokenizer itself.
     """
 
     def __init__(self, path: str):
-        import regex
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -66,18 +58,48 @@ class TextEncoder:
         vocabulary = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.whole = tiktoken.Encoding("pieces", pat_str=_PATTERN, mergeable_ranks=vocabulary, special_tokens={}).encode_ordinary
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = _Pieces(self.whole)
-        self.mixed = regex.compile(r"\s\s|^\s|\s$|[^\S \n]").search
+        self.newline = vocabulary[b"\n"]
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if self.mixed(text):
-            return np.array(self.whole(text), dtype="<u4").tobytes()
-        first, *rest = text.split(" ")
-        return np.array(self.whole(first), dtype="<u4").tobytes() + b"".join(map(self.chunks.__getitem__, rest))
+        return next(self.encode_all(pa.array([text], pa.string())))
+
+    def encode_all(self, texts: pa.StringArray):
+        """The ids of each text (none null), one after the other."""
+        whole = pc.or_(pc.equal(texts, ""), pc.match_substring_regex(texts, _MIXED))
+        for token in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        # Every text is cut as if it followed a newline; chunks after a newline begin with it.
+        cut = pc.replace_substring(texts.filter(pc.invert(whole)), "\n", " \n")
+        cut = pc.split_pattern(pc.binary_join_element_wise("\n", cut, ""), " ")
+        chunks = cut.flatten().dictionary_encode()
+        ids, first, count = self._chunk_ids(chunks.dictionary)
+        places, ends = chunks.indices.to_numpy(), iter(cut.offsets.to_numpy()[1:].tolist())
+        start = 0
+        for number, alone in enumerate(whole.to_pylist()):
+            if alone:
+                yield self._alone(texts[number].as_py())
+                continue
+            end = next(ends)
+            own = places[start:end]
+            start = end
+            reached = np.cumsum(count[own])
+            at = np.repeat(first[own] - reached + count[own], count[own]) + np.arange(reached[-1])
+            yield ids[at[1:]].tobytes()
+
+    def _chunk_ids(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks, and the first place and count of each chunk's: all are one text, a newline before each."""
+        lines = pc.starts_with(chunks, "\n")
+        marked = pc.if_else(lines, chunks, pc.binary_join_element_wise("\n ", chunks, ""))
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(marked)], marked), "")[0].as_py()
+        ids = np.array(self.whole(joined), dtype="<u4")
+        starts = np.flatnonzero(ids == self.newline)
+        first = starts + pc.invert(lines).to_numpy(zero_copy_only=False)
+        return ids, first, np.append(starts[1:], len(ids))[:len(starts)] - first
+
+    def _alone(self, text: str) -> bytes:
+        special = any(s in text for s in self.special)
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if special else self.whole(text)
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 def tokenizer_path() -> str:
@@ -92,6 +114,26 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
+def _portions(batches):
+    """(ids, texts) of consecutive rows of all batches: `_TOGETHER` bytes and one text at most; null texts are empty."""
+    held, size = [], 0
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
+        # 64 more for a row, so that empty texts count.
+        reached = size + np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64) + 64)
+        cuts = np.flatnonzero(np.diff(reached // _TOGETHER, prepend=size // _TOGETHER)) + 1
+        start = 0
+        for end in cuts.tolist():
+            held.append((batch.column(0)[start:end], texts[start:end]))
+            yield tuple(map(pa.concat_arrays, zip(*held)))
+            held, start = [], end
+        if start < len(texts):
+            held.append((batch.column(0)[start:], texts[start:]))
+        size = int(reached[-1]) if len(texts) else size
+    if held:
+        yield tuple(map(pa.concat_arrays, zip(*held)))
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, uid: every document cut into pieces of at most `capacity`.
 
@@ -101,21 +143,19 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encode = encoder(path).encode
+        encode = encoder(path).encode_all
         serial = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                rows: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = memoryview(encode(text.as_py() or "") + end)
-                    total, start, number = len(ids) // 4, 0, 0
-                    size = total % capacity or capacity
-                    while start < total:
-                        rows.append((doc, number, start, size, zlib.crc32(ids[4 * start:4 * (start + size)]), serial))
-                        start, size, number, serial = start + size, capacity, number + 1, serial + 1
-                columns = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
+        for doc_ids, texts in _portions(batches):
+            rows: list[tuple] = []
+            for doc, found in zip(doc_ids.to_pylist(), encode(texts)):
+                ids = memoryview(found + end)
+                total, start, number = len(ids) // 4, 0, 0
+                size = total % capacity or capacity
+                while start < total:
+                    rows.append((doc, number, start, size, zlib.crc32(ids[4 * start:4 * (start + size)]), serial))
+                    start, size, number, serial = start + size, capacity, number + 1, serial + 1
+            columns = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
 
     schema = "doc_id long, piece long, start long, length long, ids_crc32 long, uid long"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

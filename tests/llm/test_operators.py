@@ -167,6 +167,54 @@ def test_packing_round_trip(spark):
     assert rows.sequence_id.nunique() <= 1.05 * np.ceil(rows.length.sum() / 1024)
 
 
+def test_encoder_asks_once_per_batch(monkeypatch):
+    """Different words must not be a call of the tokenizer each, nor the words beside newlines ever new chunks."""
+    import tiktoken
+
+    asked = []
+    plain = tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: asked.append(len(text)) or plain(self, text))
+    encoder = packing.TextEncoder(packing.tokenizer_path())
+    text = " ".join(f"w{i}x{i * i}" for i in range(500)) + "\n" + "\n".join(f"be{i % 7} at{i % 5}" for i in range(2000))
+    ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.encode(text) == np.array(ids, dtype="<u4").tobytes()
+    assert len(asked) == 1 and sum(asked) < len(text) / 2
+
+
+def test_encoder_equals_tokenizer_on_odd_spacing():
+    import pyarrow as pa
+
+    random = np.random.default_rng(5)
+    parts = ["don't", "'s", "Ünï", "日本語", "3.5", "!!", "|", "\x00", "\x1c", "\t", "\r\n", "\u00a0", "\u2028", "\u3000", "\u180e", "e\u0301", "<|endoftext|>", "\r", "x" * 70]
+    between = [" ", "\n", " ", "", "  ", "\n\n", " \n", "\n "]
+    texts = ["", " ", "\n", "a", "\na", "a\n", " a", "a b\nc"]
+    for i in range(600):
+        some = parts[:7] if i % 2 else parts
+        gaps = between[:2] if i % 2 else between
+        texts.append("".join(random.choice(some) + random.choice(gaps) for _ in range(random.integers(1, 10))).rstrip(" \n" if i % 4 == 1 else ""))
+    encoder = packing.TextEncoder(packing.tokenizer_path())
+    expected = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert list(encoder.encode_all(pa.array(texts))) == expected
+    assert list(encoder.encode_all(pa.array(["", " x"]))) == [encoder.encode(""), encoder.encode(" x")]
+    assert list(encoder.encode_all(pa.array([], pa.string()))) == []
+
+
+def test_text_portions_keep_rows_in_order(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "_TOGETHER", 1000)
+    sizes = [0, 5, 900, 5000, 0, None, 10, 936, 1, 2500, 0, 0] + [1] * 40
+    batches = []
+    for at, end in [(0, 4), (4, 4), (4, 9), (9, 52)]:
+        texts = pa.array([None if n is None else "x" * n for n in sizes[at:end]], pa.string())
+        batches.append(pa.RecordBatch.from_arrays([pa.array(range(at, end), pa.int64()), texts], ["doc_id", "text"]))
+    portions = [(ids.to_pylist(), texts.to_pylist()) for ids, texts in packing._portions(batches)]
+    assert [i for ids, _ in portions for i in ids] == list(range(52))
+    assert [len(t) for _, texts in portions for t in texts] == [n or 0 for n in sizes]
+    assert len(portions) > 3 and all(ids and sum(len(t) + 64 for t in texts[:-1]) < 1000 for ids, texts in portions)
+    assert list(packing._portions([])) == []
+
+
 def test_breeding_keeps_every_item_once():
     random = np.random.default_rng(2)
     sizes = random.integers(1, 700, 500)
