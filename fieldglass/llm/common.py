@@ -56,6 +56,24 @@ def store(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def returning_memory(run):
+    """`run` for mapInArrow: what its batches took in Arrow's pool and is free again goes back to the system.
+
+    Python workers are reused, and would hold it beside the JVM through all later tasks.
+    """
+
+    def steps(batches):
+        import pyarrow as pa
+
+        for batch in run(batches):
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return steps
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

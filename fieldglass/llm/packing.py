@@ -13,7 +13,7 @@ import json
 import math
 import os
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import store
+from fieldglass.llm.common import returning_memory, store
 
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # White space other than single spaces and newlines between characters that are none.
@@ -31,7 +31,7 @@ _MIXED = (
     r"\A[ \n]|[ \n]\z|[ \n]{2}"
     r"|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-_TOGETHER = 8_000_000  # bytes of the texts encoded together
+_TOGETHER = 2_000_000  # bytes of the texts encoded together; bounds memory
 
 
 class TextEncoder:
@@ -46,9 +46,8 @@ class TextEncoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -57,9 +56,16 @@ class TextEncoder:
         to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
         vocabulary = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.whole = tiktoken.Encoding("pieces", pat_str=_PATTERN, mergeable_ranks=vocabulary, special_tokens={}).encode_ordinary
-        self.tokenizer = Tokenizer.from_file(path)
         self.newline = vocabulary[b"\n"]
 
+    @cached_property
+    def tokenizer(self):
+        """Read when the first text needs it: it takes as much memory as all the rest here."""
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         return next(self.encode_all(pa.array([text], pa.string())))
 
@@ -158,7 +164,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
 
     schema = "doc_id long, piece long, start long, length long, ids_crc32 long, uid long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(returning_memory(run), schema)
 
 
 def best_fit(sizes, order, residuals, capacity, bin_of, next_bin):

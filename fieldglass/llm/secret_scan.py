@@ -18,6 +18,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from fieldglass.llm.common import returning_memory
 from pyspark.sql.types import StringType
 
 # The base patterns (fixed values of the result's contract).
@@ -276,7 +278,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     if not isinstance(docs.schema["text"].dataType, StringType):
         raise TypeError("text must be a string column")
-    clean = docs.mapInArrow(run, docs.schema)
+    clean = docs.mapInArrow(returning_memory(run), docs.schema)
     if "n_chars" in names:
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return clean

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import components, store
+from fieldglass.llm.common import components, returning_memory, store
 from fieldglass.llm.simhash_trie import fingerprints, near_components, only
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -74,7 +74,7 @@ def _banded(texts: DataFrame) -> DataFrame:
             node = np.repeat(batch.column(0).to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(dealt) if dealt else node)], ["node", "bucket"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, bucket long")
+    return texts.select("node", "text").mapInArrow(returning_memory(run), "node long, bucket long")
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def _hub_links(members: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     dealt = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(returning_memory(run), "a long, b long")
 
 
 def forest(sets: list[np.ndarray], roots: list[int], blocks: list[int] | None = None) -> list[tuple[int, int]]:
@@ -195,7 +195,7 @@ def _cluster_links(rows: DataFrame) -> DataFrame:
 
     keys = ["cluster", "low", "high"]
     dealt = rows.select(*keys, "node", "root", "block", "text").repartition(*keys).sortWithinPartitions(*keys, "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(returning_memory(run), "a long, b long")
 
 
 def _with_roots(links: DataFrame, members: DataFrame) -> DataFrame:

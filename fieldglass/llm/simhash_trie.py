@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import components, store
+from fieldglass.llm.common import components, returning_memory, store
 
 _LEAF = 64  # pairs of rows that a pair of nodes may hold to be compared at once
 _CHUNK = 32_768  # pairs of nodes handled together; bounds memory
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints)], ["doc_id", "text_hash", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(returning_memory(run), "doc_id long, text_hash long, fp long")
 
 
 def _join_leaves(label, prints, left, right, budget):

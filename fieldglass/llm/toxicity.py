@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fieldglass.llm.common import id_remainder, store
+from fieldglass.llm.common import id_remainder, returning_memory, store
 
 ID_BITS = 22
 LONG, SHORT = 4, 2  # characters of context
@@ -149,7 +149,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", trai
             yield pa.RecordBatch.from_arrays([near.column(1), near.column(2), pa.array(texts, pa.string())], ["doc_id", "fold", "text"])
 
     rows = docs.select(place.cast("int").alias("place"), F.col("doc_id").cast("long"), spread.alias("fold"), F.col("text").cast("string"))
-    near = rows.where(F.col("doc_id").isNotNull()).mapInArrow(sift, "doc_id long, fold int, text string")
+    near = rows.where(F.col("doc_id").isNotNull()).mapInArrow(returning_memory(sift), "doc_id long, fold int, text string")
     return store(near.join(known.hint("merge"), "doc_id").select("cls", "fold", "text"))
 
 
@@ -183,9 +183,9 @@ def _count_grams(batches):
 
 def fit(rows: DataFrame) -> Model:
     """Count both models on rows (cls, text); every word of every chosen row is counted."""
-    counted = rows.select(F.col("cls").cast("int"), "text").mapInArrow(_count_words, "word string, c0 long, c1 long")
+    counted = rows.select(F.col("cls").cast("int"), "text").mapInArrow(returning_memory(_count_words), "word string, c0 long, c1 long")
     words = counted.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    long = words.mapInArrow(_count_grams, ", ".join(f"{n} long" for n in _GRAM_COLUMNS))
+    long = words.mapInArrow(returning_memory(_count_grams), ", ".join(f"{n} long" for n in _GRAM_COLUMNS))
     long = store(long.groupBy(*_GRAM_COLUMNS[:4]).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
     short = store(long.groupBy("short", "short_context").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.count(F.lit(1)).alias("n")))
 
@@ -276,7 +276,7 @@ class Scorer:
                 values = pa.array(_score(shared.value, batch.column(at), known), pa.float64())
                 yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
-        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+        return docs.mapInArrow(returning_memory(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def fit_scorer(docs: DataFrame, labels: DataFrame, label: str = "toxic", trains: Column | None = None) -> Scorer:
@@ -297,7 +297,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, label: str = "toxic", trains:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, i]) for i in range(FEATURES))], ["cls", *(f"x{i}" for i in range(FEATURES))])
 
     # At most `CALIBRATION` documents have fold 0 (repeated rows of them count); four numbers each.
-    kept = rows.where("fold = 0").select(F.col("cls").cast("int"), "text").mapInArrow(held, "cls int, " + ", ".join(f"x{i} double" for i in range(FEATURES)))
+    kept = rows.where("fold = 0").select(F.col("cls").cast("int"), "text").mapInArrow(returning_memory(held), "cls int, " + ", ".join(f"x{i} double" for i in range(FEATURES)))
     sample = kept.toPandas().to_numpy(dtype=np.float64)
     y = sample[:, 0]
     if len(set(y)) == 2:

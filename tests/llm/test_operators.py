@@ -215,6 +215,55 @@ def test_text_portions_keep_rows_in_order(monkeypatch):
     assert list(packing._portions([])) == []
 
 
+def test_encoder_reads_the_tokenizer_only_for_texts_that_need_it(monkeypatch):
+    import tokenizers
+
+    class Counted:
+        read = []
+
+        @classmethod
+        def from_file(cls, path):
+            cls.read.append(path)
+            return plain.from_file(path)
+
+    plain = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    encoder = packing.TextEncoder(packing.tokenizer_path())
+    assert encoder.encode("some words\nand\tmore") and not Counted.read
+    assert encoder.encode(f"some {encoder.special[0]} words") and encoder.encode(encoder.special[0]) and len(Counted.read) == 1
+
+
+def test_encoding_many_texts_takes_little_memory():
+    import pyarrow as pa
+
+    texts = pa.array([" ".join(f"w{(i * j) % 9973}" for j in range(400)) for i in range(8000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000), pa.int64()), texts], ["doc_id", "text"])
+    encoder, plain = packing.TextEncoder(packing.tokenizer_path()), pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(plain)
+    pa.set_memory_pool(pool)
+    try:
+        found = [sum(len(x) for x in encoder.encode_all(texts)) for _, texts in packing._portions([batch])]
+    finally:
+        pa.set_memory_pool(plain)
+    assert texts.nbytes > 15_000_000 and len(found) > 5 and pool.max_memory() < 20_000_000
+
+
+def test_workers_give_memory_back_between_batches(monkeypatch):
+    import pyarrow as pa
+    from fieldglass.llm.common import returning_memory
+
+    calls = []
+
+    class Pool:
+        release_unused = staticmethod(lambda: calls.append(len(seen)))
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    seen = []
+    for batch in returning_memory(lambda batches: (2 * b for b in batches))(iter([1, 2, 3])):
+        seen.append(batch)
+    assert seen == [2, 4, 6] and calls == [1, 2, 3, 3]
+
+
 def test_breeding_keeps_every_item_once():
     random = np.random.default_rng(2)
     sizes = random.integers(1, 700, 500)
