@@ -84,7 +84,10 @@ def entity_games(events: DataFrame, entities: list[Entity], label: str, target:
 
     A game has one instant, so an entity's events are contiguous per game, and frames range over
     entity-game totals.  The left edge of the last-n frame lies inside some earlier game: that game is found
-    among the totals, and only the events of such games are numbered.
+    among the totals, and only the events of such games are numbered.  Joins whose sides both grow with the
+    events are merge joins: Spark takes a written table for as large as its compressed files, an exploded one for
+    no longer than its source and a checkpoint for what was expected of it, so it may broadcast all their rows,
+    and a broadcast once planned is kept if it turns out large.
     """
     staged = events.withColumns({"__at": F.unix_micros(F.col(instant).cast("timestamp")), "__y": F.col(label).cast("bigint")})
     spread = by_entity(staged, entities, game, "__at", *EVENT_ORDER, "__y")
@@ -114,12 +117,12 @@ def entity_games(events: DataFrame, entities: list[Entity], label: str, target:
     spots = cut_lineage(spots)
     cut_games = spots.filter("__j < __whole").select(*_WHO, F.col("__in").alias(game)).distinct()
     inside = Window.partitionBy(*_WHO, game).orderBy(*EVENT_ORDER)
-    numbered = spread.join(cut_games, [*_WHO, game], "left_semi").withColumns({
+    numbered = spread.join(cut_games.hint("merge"), [*_WHO, game], "left_semi").withColumns({
         "__j": F.row_number().over(inside).cast("bigint"), "__c": F.sum("__y").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
     numbered = numbered.select(*_WHO, F.col(game).alias("__in"), "__j", "__c")
-    found = spots.join(numbered, [*_WHO, "__in", "__j"], "left")
+    found = spots.join(numbered.hint("merge"), [*_WHO, "__in", "__j"], "left")
     found = found.select(*_WHO, game, (F.col("__base") + F.when(F.col("__j") == F.col("__whole"), F.col("__all")).otherwise(F.col("__c"))).alias("__edge"))
-    return games.join(found, [*_WHO, game], "left")
+    return games.join(found.hint("merge"), [*_WHO, game], "left")
 
 
 def _measures(entity: Entity, target: Target) -> dict[str, Column]:
@@ -153,11 +156,11 @@ def pregame_training(features: DataFrame, target: Target, entities: list[Entity]
     if materialise:
         rows = written_table(rows)
     games = entity_games(rows, entities, target.label, target)
-    met = by_entity(rows, entities, "game_pk", "pitch_id").join(games, [*_WHO, "game_pk"])
+    met = by_entity(rows, entities, "game_pk", "pitch_id").join(games.hint("merge"), [*_WHO, "game_pk"])
     measures = [F.max(F.when(F.col("kind") == i, value)).alias(name) for i, e in enumerate(entities) for name, value in _measures(e, target).items()]
     wide = met.groupBy("game_pk", "pitch_id").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("__kinds"), *measures)
     wide = wide.filter(F.col("__kinds") == (1 << len(entities)) - 1).drop("__kinds")
-    return rows.join(wide, ["game_pk", "pitch_id"]).withColumn(f"target_{target.key}", F.col(target.label)).drop(
+    return rows.join(wide.hint("merge"), ["game_pk", "pitch_id"]).withColumn(f"target_{target.key}", F.col(target.label)).drop(
         "swing_flag", "whiff_flag", "batted_ball_flag", "hard_hit_flag"
     )
 

@@ -190,3 +190,12 @@ def test_histories_of_all_kinds_equal_brute_force(spark):
                 assert r[history.WHIFF.count_name(e, name)] == len(found), (e.name, name)
                 rate = r[history.WHIFF.rate_name(e, name)]
                 assert rate is None if not found else abs(rate - sum(x.whiff_flag for x in found) / len(found)) < 1e-12
+
+
+def test_training_broadcasts_no_frame_that_grows_with_the_events(spark):
+    frame = _features(spark, ROWS).withColumns({"batted_ball_flag": F.lit(1), "hard_hit_flag": F.col("whiff_flag")})
+    mart = history.pregame_training(frame, history.HARD_HIT)
+    found = {r.pitch_id: r for r in mart.collect()}
+    assert len(found) == len(ROWS) and found["8-2-3"].batter_batted_balls_prior_50 == 21 and found["1-1-1"].batter_batted_balls_prior_50 == 0
+    planned = mart._jdf.queryExecution().executedPlan().toString()
+    assert planned.count("SortMergeJoin") >= 5 and "Broadcast" not in planned
